@@ -57,6 +57,7 @@ class Encoder:
             self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
             self.apart = False
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.long: list[str] = []
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -70,7 +71,18 @@ class Encoder:
         return not re.search(r"\\[sSWDPXRO]|\[\^|\.|\s", pattern)
 
     def spans(self, text: str) -> Spans:
-        """Ids, starts and ends (characters of ``text``) of its tokens."""
+        """Ids, starts and ends (characters of ``text``) of its tokens; those of a cached piece all span the piece."""
+        if not self.apart:
+            return self.library_spans(text)
+        pieces = self._pieces(text)
+        self._learn(set(pieces))
+        found = [self.kept[p] for p in pieces]
+        n, long = np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(long + 1) - long - 1
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.repeat(starts, n), np.repeat(starts + long, n)
+
+    def library_spans(self, text: str) -> Spans:
+        """The same with the library's own offsets."""
         if self.json:
             e = self.lib.encode(text, add_special_tokens=False)
             at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
@@ -92,13 +104,17 @@ class Encoder:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _learn(self, wanted: set[str]) -> None:
+        for p in self.long:  # long ones stay for one call
+            del self.kept[p]
         missing = [p for p in wanted if p not in self.kept]
+        self.long = [p for p in missing if len(p) > CACHE_CHARS]
         if len(self.kept) + len(missing) > CACHE:
             self.kept.clear()
             missing = list(wanted)
+            self.long = [p for p in missing if len(p) > CACHE_CHARS]
         for a in range(0, len(missing), 1000):  # one call for many pieces; offsets say whose the ids are
             part = missing[a : a + 1000]
-            ids, starts, _ = self.spans(" ".join(part))
+            ids, starts, _ = self.library_spans(" ".join(part))
             ends = np.cumsum([len(p) + 1 for p in part])
             to = np.searchsorted(starts, ends).tolist()
             ids = ids.tolist()
@@ -124,10 +140,6 @@ class Encoder:
             ids_of = self.kept.__getitem__
             for i, x in pieces.items():
                 out[i] = np.fromiter(chain.from_iterable(map(ids_of, x)), dtype=np.uint32)
-            if any(len(p) > CACHE_CHARS for p in wanted):
-                for p in wanted:
-                    if len(p) > CACHE_CHARS:
-                        del self.kept[p]
         return out
 
 
