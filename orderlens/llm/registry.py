@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens, warc
+from . import licenses, mixing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_mixing,
+    "op5_licenses": licenses.op5_licenses,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_warc": warc.op9_warc,
 }
 
-ORACLES: dict[str, str] = {**warc.ORACLE}
+ORACLES: dict[str, str] = {**mixing.ORACLE, **warc.ORACLE}
