@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, tokens, warc
+from . import langid, licenses, mixing, pieces, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_langid": langid.op2_langid,
     "op5_licenses": licenses.op5_licenses,
+    "op7_pieces": pieces.op7_pieces,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_warc": warc.op9_warc,
 }
