@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, mixing, pieces, tokens, warc
+from . import embeddings, langid, licenses, mixing, pieces, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pieces": pieces.op7_pieces,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_warc": warc.op9_warc,
+    "op10_embeddings": embeddings.op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {**mixing.ORACLE, **warc.ORACLE}
