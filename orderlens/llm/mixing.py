@@ -53,9 +53,10 @@ def time_sql(share: str, kind: str, schedules=SCHEDULES) -> str:
     return f"(case {' '.join(cases)} end)"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the hash that orders a source."""
+def sized(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size, the hash that orders a source, and the columns to keep."""
     return docs.select(
+        *keep,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -83,13 +84,13 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: fl
     )
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, position, again_at for each row, range-sorted by position.
 
     ``taken`` words are the whole document, a part, none, or up to twice its size; ``position`` is the time of the
     document's first pass (null: not taken) and ``again_at`` that of its second (null: none).
     """
-    rows = common.table(sized(docs), "sizes")
+    rows = common.table(sized(docs, *keep), "sizes")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goals = common.bounded_broadcast(common.table(targets(by_source), "targets").withColumnRenamed("source", "of"))
     n_buckets = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(BUCKET_ROWS)), F.sqrt("n_docs")))
@@ -105,12 +106,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", F.greatest(F.lit(0), F.least("size", whole - F.col("c")))).withColumn("second", F.greatest(F.lit(0), F.least("size", whole - F.col("source_size") - F.col("c"))))
     rows = rows.withColumn("x", F.col("c") / F.nullif("target", F.lit(0.0))).withColumn("y", (F.col("source_size") + F.col("c")) / F.nullif("target", F.lit(0.0)))
     return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"),
+        *keep, "doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).cast("long").alias("taken"),
         F.when(F.col("first") > 0, F.round(F.expr(time_sql("x", "kind")), 9)).alias("position"),
         F.when(F.col("second") > 0, F.round(F.expr(time_sql("y", "kind")), 9)).alias("again_at"),
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def curriculum(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in training order, with their columns: one for each pass that takes some of its words."""
+    own = docs.withColumn("__row", F.monotonically_increasing_id())
+    passes = mixed(own, "__row").select("__row", F.explode(F.array_compact(F.array("position", "again_at"))).alias("__at"))
+    passes = common.bounded_broadcast(common.table(passes, "passes"), 500_000)
+    return own.join(passes, "__row").orderBy("__at", "__row").select(*docs.columns)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the default weights."""
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
