@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, licenses, mixing, pieces, shingles, tokens, warc
+from . import embeddings, langid, licenses, mixing, pieces, shingles, tokenfiles, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_langid": langid.op2_langid,
     "op4_jaccard": shingles.op4_jaccard,
     "op5_licenses": licenses.op5_licenses,
+    "op6_token_files": tokenfiles.op6_token_files,
     "op7_pieces": pieces.op7_pieces,
     "op8_token_counts": tokens.op8_token_counts,
     "op9_warc": warc.op9_warc,
