@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, langid, licenses, mixing, pieces, shingles, tokenfiles, tokens, warc
+from . import embeddings, langid, licenses, mixing, pieces, search, shingles, tokenfiles, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
     "op2_langid": langid.op2_langid,
+    "op3_search": search.op3_search,
     "op4_jaccard": shingles.op4_jaccard,
     "op5_licenses": licenses.op5_licenses,
     "op6_token_files": tokenfiles.op6_token_files,
