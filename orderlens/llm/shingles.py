@@ -13,7 +13,7 @@ Texts with equal sets are one class with a count. Buckets and groups are dealt t
 blocks to a task, so no task holds a whole hot one.
 
 Defined results: null text counts as empty; texts without words form one class; a text of fewer words than a
-shingle has one shingle, of all its words; a null doc_id takes part, and repeated rows link with each other.
+shingle has one shingle, of all its words; a null doc_id takes part; repeated rows are rows each and link.
 Columns other than doc_id and text are not read. An empty table gives no rows.
 """
 
@@ -89,7 +89,7 @@ def _signer(k: int, runs: int):
                     paths.append(np.concatenate([chosen(members, s) for s in salts(runs)]).view(np.int64))
                 cuts = np.cumsum([0, *map(len, paths)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(paths)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["doc_id", "key", "size", "sketch", "paths"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["doc_id", "row", "key", "size", "sketch", "paths"])
 
     return sign
 
@@ -267,19 +267,25 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int =
     return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a number of each row, the same whenever the same files are read."""
+    return texts_of(docs).withColumn("row", F.monotonically_increasing_id())
+
+
 def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
-    """doc_id, class_id, n_links, component_id, kept for each row.
+    """row, doc_id, class_id, n_links, component_id, kept for each row.
 
     class_id is the smallest doc_id with the same set; n_links the number of other rows at a similarity of 0.8 or more;
-    component_id the smallest doc_id that links reach; ``kept`` marks one row of each component (the one of
-    that id; among repeated rows of it, or where all ids are null, one by order of arrival in the partition).
+    component_id the smallest doc_id that links reach; ``kept`` marks one row of each component (the first of those
+    with that id; null ids come last).
     """
-    signed = texts_of(docs).mapInArrow(_signer(k, runs), "doc_id long, key binary, size int, sketch binary, paths array<long>")
+    signed = numbered(docs).mapInArrow(_signer(k, runs), "doc_id long, row long, key binary, size int, sketch binary, paths array<long>")
     signed = common.table(signed, "signed")
     classes = signed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
+        F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"),
     )
-    classes = common.table(classes, "classes")
+    classes = common.table(classes.withColumn("least_id", F.col("least.doc_id")), "classes")
     groups = components(candidates(docs, classes, k, limit)).withColumnRenamed("node", "key").withColumnRenamed("root", "grp")
     groups = common.table(groups, "groups")
     sets = class_sets(docs, classes, groups.select("key"), k).join(groups, "key").join(classes.select("key", "copies"), "key")
@@ -288,23 +294,23 @@ def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIM
     found = common.table(dealt.groupBy("grp", "i", "j").applyInArrow(_verified, "key binary, links long, root binary"), "found")
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    each = classes.select("key", "copies", "least_id").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    each = common.table(each.select("key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "each")
-    ids = each.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    each = each.join(ids, "root").select("key", F.col("least_id").alias("class_id"), "n_links", "component_id")
-    return signed.select("doc_id", "key").join(each, "key").select(
-        "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    each = classes.select("key", "copies", "least").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    each = common.table(each.select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "each")
+    firsts = each.groupBy("root").agg(F.min("least").alias("first"))
+    each = each.join(firsts, "root").select("key", F.col("least.doc_id").alias("class_id"), "n_links", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    return signed.select("row", "doc_id", "key").join(each, "key").select(
+        "row", "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("row") == F.col("first_row")).alias("kept")
     )
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group of ``docs``, with its columns; rows that repeat an id count as one."""
-    found = jaccard_join(docs)
-    dropped = common.bounded_broadcast(common.table(found.filter(~F.col("kept")).select("doc_id").distinct(), "dropped"), 500_000)
-    rest = docs.join(dropped.withColumnRenamed("doc_id", "__dropped"), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    return rest.select(*docs.columns)
+    """One row of each near-duplicate group of ``docs``, with its columns."""
+    dropped = jaccard_join(docs).filter(~F.col("kept")).select(F.col("row").alias("__orderlens_row"))
+    dropped = common.bounded_broadcast(common.table(dropped, "dropped"), 500_000)
+    own = docs.withColumn("__orderlens_row", F.monotonically_increasing_id())
+    return own.join(dropped, "__orderlens_row", "left_anti").select(*docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links among all documents."""
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
