@@ -29,6 +29,11 @@ CACHE, CACHE_CHARS = 250_000, 40
 #: Tokens above which op8 flags a document.
 LIMIT = 2048
 
+#: Fixed value: the pre-tokenizer pattern under which a run of letters is a word by itself, and a mark after it too.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A word of letters that normalizing only lowers, and a mark after it.
+CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -50,12 +55,14 @@ class Encoder:
             self.lib = Tokenizer.from_file(path)
             self.lib.no_truncation()
             self.lib.no_padding()
-            self.apart = self._drops_space(json.loads(self.lib.to_str()))
+            spec = json.loads(self.lib.to_str())
+            self.apart = self._drops_space(spec)
+            self.bare = self._bare(spec) if self.apart else None
         else:
             import sentencepiece
 
             self.lib = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.apart = False
+            self.apart, self.bare = False, None
         self.kept: dict[str, tuple[int, ...]] = {}
         self.long: list[str] = []
 
@@ -70,6 +77,35 @@ class Encoder:
         pattern = re.sub(r"\[\^\\s[^\]]*\]", "", first["pattern"].get("Regex", " "))
         return not re.search(r"\\[sSWDPXRO]|\[\^|\.|\s", pattern)
 
+    def _bare(self, spec: dict):
+        """The same library's model without the normalizer, for words of plain letters that are in lower case already."""
+        from tokenizers import Tokenizer
+
+        model, steps, cuts = spec["model"], [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])], spec["pre_tokenizer"]["pretokenizers"]
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        if steps != ["NFC", "Replace", "Lowercase"] or cuts[0]["pattern"].get("Regex") != LETTER_RUNS or cuts[1:] != [level] or model["type"] != "BPE" or model["dropout"] or not model["end_of_word_suffix"]:
+            return None
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids that end a word
+        self.ends[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
+        return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}))
+
+    def _learn_words(self, missing: list[str]) -> None:
+        """Learns pieces, those that are a plain word and perhaps a mark by the bare model."""
+        found = [(p, CORE.fullmatch(p) if len(p) <= CACHE_CHARS else None) for p in missing]
+        rest = [p for p, m in found if m is None]
+        rest += {m[2] for _, m in found if m and m[2]}.difference(self.kept, rest)
+        words = [w for w in dict.fromkeys(m[1].lower() for _, m in found if m) if w not in self.kept]
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids)
+            to = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(to) != len(part) or to[-1] != len(ids):
+                raise RuntimeError("a word has no end")
+            ids = ids.tolist()
+            self.kept.update((w, tuple(ids[i:j])) for w, i, j in zip(part, [0, *to], to, strict=False))
+        self._learn_by_library(rest)
+        self.kept.update((p, self.kept[m[1].lower()] + (self.kept[m[2]] if m[2] else ())) for p, m in found if m)
+
     def spans(self, text: str) -> Spans:
         """Ids, starts and ends (characters of ``text``) of its tokens; those of a cached piece all span the piece."""
         if not self.apart:
@@ -112,6 +148,12 @@ class Encoder:
             self.kept.clear()
             missing = list(wanted)
             self.long = [p for p in missing if len(p) > CACHE_CHARS]
+        if self.bare is not None:
+            self._learn_words(missing)
+        else:
+            self._learn_by_library(missing)
+
+    def _learn_by_library(self, missing: list[str]) -> None:
         for a in range(0, len(missing), 1000):  # one call for many pieces; offsets say whose the ids are
             part = missing[a : a + 1000]
             ids, starts, _ = self.library_spans(" ".join(part))
