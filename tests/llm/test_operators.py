@@ -165,7 +165,9 @@ def test_block_pruning_skips_and_stays_exact():
     held = [(i, t, rng.integers(1, 5, len(t)), n, c) for i, t, _, n, c in held]
     index = search.Index(list(held), 40, 30.0)
     terms, weights = np.array([1, 5, 9]), np.array([2.0, 0.1, 0.4])
-    got = index.search(terms, weights, [], 7)
+    best = [[]]
+    index.search_all([terms], [weights], best, 7)
+    got = best[0]
     impact = lambda tf: tf * 2.2 / (tf + 1.2)
     every = sorted(((sum(w * impact(float(f[np.flatnonzero(t == x)[0]])) for x, w in zip(terms, weights, strict=True) if x in t), -i) for i, t, f, _, _ in held), reverse=True)[:7]
     assert [d for _, d in got] == [d for _, d in every] and np.allclose([s for s, _ in got], [s for s, _ in every])
