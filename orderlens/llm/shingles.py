@@ -3,9 +3,9 @@
 A text is the set of its hashed word shingles. In each run, a set chooses the members whose hash, salted by
 the run, is small enough that 1 / (LAMBDA * size) of them pass; sets that choose the same member meet in a
 bucket. A pair at the threshold shares about one chosen member or more in a run, so the runs together miss few pairs
-(``RUNS`` leaves about one in ten thousand). A bucket over ``LIMIT`` is split again by members chosen with
-the path so far as salt, and so on; smaller ones are brute-forced by 64-byte sketches, which drop what is
-clearly apart. Sets that a chain of such candidate pairs joins form a group, and within a group all pairs
+(``RUNS`` leaves about one in ten thousand). A bucket over ``LIMIT`` whose sets are not alike on the whole is split
+again by members chosen with the path so far as salt, and so on; others are brute-forced by 64-byte sketches,
+which drop what is clearly apart. Sets that a chain of such candidate pairs joins form a group, and within a group all pairs
 are compared exactly, by the number of shared shingles. Candidates, then, only have to join groups: no list
 of pairs is made, and what leaves a task is a count and a link for each set.
 
@@ -37,6 +37,8 @@ from .tokens import texts_of
 K, OVER, UNDER = 5, 4, 5
 #: Chosen members: one in LAMBDA times the size; runs; sets in a bucket that is brute-forced; levels of splitting.
 LAMBDA, RUNS, LIMIT, DEPTH = 0.8, 8, 4096, 12
+#: Mean similarity of a bucket's sets from which it is not split, as splitting would only lose links of near copies.
+DENSE = 0.2
 #: Bins of a sketch; agreement that keeps a pair; sets under so many members are kept whatever their sketches say.
 BINS, AGREE, SMALL = 64, 0.55, 16
 #: Sets in a block; members that one product of incidence matrices takes.
@@ -86,7 +88,7 @@ def _signer(k: int, runs: int):
                     keys.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                     sizes.append(len(members))
                     sketches.append(sketch(members))
-                    paths.append(np.concatenate([chosen(members, s) for s in salts(runs)]).view(np.int64))
+                    paths.append(np.unique(np.concatenate([chosen(members, s) for s in salts(runs)])).view(np.int64))
                 cuts = np.cumsum([0, *map(len, paths)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(paths)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["doc_id", "row", "key", "size", "sketch", "paths"])
@@ -94,13 +96,16 @@ def _signer(k: int, runs: int):
     return sign
 
 
-def _sets(k: int):
+def _sets(k: int, names: list[str]):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = Hashes()
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
-                found = [shingle_set(words_of(t), kept, k).tobytes() for t in batch.column("text").slice(a, 200).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["key", "members"])
+                part = batch.slice(a, 200)
+                found = [shingle_set(words_of(t), kept, k).tobytes() for t in part.column("text").to_pylist()]
+                if [hashlib.blake2b(x, digest_size=16).digest() for x in found] != part.column("key").to_pylist():
+                    raise RuntimeError("the documents were read in another order than before")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.binary())], [*names, "members"])
 
     return sets
 
@@ -108,13 +113,12 @@ def _sets(k: int):
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The next paths of sets from the path they are on."""
     for batch in batches:
-        rows, paths = [], []
-        for r, (members, path) in enumerate(zip(batch.column("members").to_pylist(), batch.column("path").to_pylist(), strict=True)):
-            own = chosen(np.frombuffer(members, np.uint64), path & 0xFFFFFFFFFFFFFFFF)
-            rows += [r] * len(own)
+        ids, paths = [], []
+        for i, members, path in zip(batch.column("id").to_pylist(), batch.column("members").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            own = np.unique(chosen(np.frombuffer(members, np.uint64), path & 0xFFFFFFFFFFFFFFFF))
+            ids += [i] * len(own)
             paths.append(own.view(np.int64))
-        taken = batch.select(["key", "size", "sketch"]).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int64))], ["key", "size", "sketch", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(paths) if paths else np.zeros(0, np.int64))], ["id", "path"])
 
 
 def labelled(hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -135,6 +139,15 @@ def alike(sa: np.ndarray, na: np.ndarray, sb: np.ndarray, nb: np.ndarray) -> np.
     return (low * UNDER >= high * OVER) & ((both >= AGREE * some) | (low < SMALL))
 
 
+def compared(marks: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """``alike`` for all rows of ``one`` against all of ``two``."""
+    hit = np.zeros((len(one), len(two)), bool)
+    for a in range(0, len(one), 64):
+        p = one[a : a + 64]
+        hit[a : a + 64] = alike(marks[p][:, None], size[p][:, None], marks[two][None], size[two][None])
+    return hit
+
+
 def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that join the candidates of each bucket (rows sorted by path, i, j)."""
 
@@ -157,20 +170,22 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n > 8 or n > 1 and i[s] != j[s]:
                 rows = np.arange(s, s + n)
                 one = rows[side[rows] == i[s]]
-                two = one if i[s] == j[s] else rows[side[rows] == j[s]]
-                la, lb = one.copy(), two.copy()
-                hit = np.zeros((len(one), len(two)), bool)
-                for a in range(0, len(one), 64):
-                    p = one[a : a + 64]
-                    hit[a : a + 64] = alike(marks[p][:, None], size[p][:, None], marks[two][None], size[two][None])
+                la = one.copy()
+                labelled(compared(marks, size, one, one), la, la)
                 if i[s] == j[s]:
-                    lb = la
-                labelled(hit, la, lb)
-                for rows, low in ((one, la), (two, lb)):
-                    a_rows.append(rows[low != rows]), b_rows.append(low[low != rows])
+                    a_rows.append(one[la != one]), b_rows.append(la[la != one])
+                    continue
+                # each block alone is joined elsewhere; here a link for each two groups that meet
+                two = rows[side[rows] == j[s]]
+                lb = two.copy()
+                labelled(compared(marks, size, two, two), lb, lb)
+                x, y = np.nonzero(compared(marks, size, one, two))
+                met = np.unique(np.stack([la[x], lb[y]], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+                a_rows.append(met[:, 0]), b_rows.append(met[:, 1])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_rows, b_rows))
-        key = rest.column("key")
-        return pa.RecordBatch.from_arrays([key.take(pa.array(a)).combine_chunks(), key.take(pa.array(b)).combine_chunks()], ["a", "b"])
+        ids = rest.column("id").to_numpy()
+        links = np.unique(np.stack([ids[a], ids[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     rest = None
     for batch in batches:
@@ -191,9 +206,9 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(key: tuple, group: pa.Table) -> pa.Table:
     """Exact links of a group of sets: within a block or between two."""
     _, i, j = (x.as_py() for x in key)
-    keys, copies, side = group.column("key").to_pylist(), group.column("copies").to_numpy(), group.column("side").to_numpy()
+    ids, copies, side = group.column("id").to_numpy(), group.column("copies").to_numpy(), group.column("side").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
-    n = len(keys)
+    n = len(ids)
     size = np.array([len(x) for x in sets], np.int64)
     rows = np.repeat(np.arange(n), size)
     members, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -225,46 +240,49 @@ def _verified(key: tuple, group: pa.Table) -> pa.Table:
     root = np.arange(n)
     root[one], root[two] = la, lb
     some = np.flatnonzero(links)
-    return pa.table({"key": pa.array([keys[r] for r in some], pa.binary()), "links": pa.array(links[some]), "root": pa.array([keys[root[r]] for r in some], pa.binary())})
+    return pa.table({"id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[root[some]])})
 
 
-def _dealt(df: DataFrame, sizes: DataFrame, by: str, keep: list[str]) -> DataFrame:
-    """Rows of each value of ``by``, dealt in blocks, with a copy for each other block; ``sizes`` has (by, n)."""
-    blocks = sizes.select(by, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    out = df.join(blocks, by).withColumn("side", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+def _dealt(df: DataFrame, by: str, keep: list[str]) -> DataFrame:
+    """Rows of each value of ``by``, of which there are ``n``, dealt in blocks, with a copy for each other block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    out = df.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return out.select(by, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *keep)
 
 
+def _likeness(rows: DataFrame) -> DataFrame:
+    """path, likeness: the share of pairs of a bucket's sets that agree in a bin of their sketches, over eight bins."""
+    bins = F.explode(F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(BINS // 8)), lambda b: F.struct(b.alias("bin"), F.col("sketch").substr(b, F.lit(1)).alias("mark"))))
+    counts = rows.select("path", "n", bins.alias("b")).groupBy("path", "n", "b").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.max(F.col("n") * F.col("n") * 8.0)).alias("likeness"))
+
+
 def candidates(docs: DataFrame, classes: DataFrame, k: int = K, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links by which the sets of each bucket that may be similar hang together."""
-    frontier = classes.filter("size > 0").select("key", "size", "sketch", F.explode("paths").alias("path")).distinct()
+    """(a, b): links by which the sets of each bucket that may be similar hang together.
+
+    Only ids and paths are shuffled for all sets; sketches join those that share a path with another.
+    """
+    frontier = classes.filter("size > 0").select("id", F.explode("paths").alias("path"))
     found = None
-    for _ in range(DEPTH):
-        counts = common.table(frontier.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-        large = counts.filter(F.col("n") > limit)
-        last = large.isEmpty()
-        part = common.bounded_broadcast(counts if last else counts.filter(F.col("n") <= limit), 20_000)
-        rows = _dealt(frontier, part, "path", ["key", "size", "sketch"])
-        rows = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-        links = common.table(rows.mapInArrow(_bucketed, "a binary, b binary"), "candidates")
+    for depth in range(DEPTH + 1):
+        counts = frontier.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = common.table(frontier.join(counts, "path").join(classes.select("id", "size", "sketch"), "id"), "shared")
+        large = shared.filter(F.col("n") > limit)
+        split = None
+        if depth < DEPTH and not large.isEmpty():
+            split = common.table(_likeness(large).filter(F.col("likeness") < DENSE).select("path"), "split")
+            split = None if split.isEmpty() else common.bounded_broadcast(split)
+        whole = shared if split is None else shared.join(split, "path", "left_anti")
+        rows = _dealt(whole, "path", ["id", "size", "sketch"]).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+        links = common.table(rows.mapInArrow(_bucketed, "a long, b long"), "candidates")
         found = links if found is None else found.unionByName(links)
-        if last:
+        if split is None:
             return found
-        members = common.table(frontier.join(common.bounded_broadcast(large.select("path")), "path"), "large")
-        frontier = common.table(members.join(class_sets(docs, classes, members.select("key").distinct(), k), "key").mapInArrow(_split, "key binary, size int, sketch binary, path long").distinct(), "frontier")
-    counts = common.table(frontier.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    rows = _dealt(frontier, counts, "path", ["key", "size", "sketch"]).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    return found.unionByName(common.table(rows.mapInArrow(_bucketed, "a binary, b binary"), "candidates"))
-
-
-def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
-    """(key, members) of the wanted classes, each from the text of its representative; other texts aren't hashed again."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    reps = common.table(classes.join(wanted, "key", "left_semi").select(name("least_id").alias("name")).distinct(), "reps")
-    texts = texts_of(docs).withColumn("name", name("doc_id")).join(common.bounded_broadcast(reps, 500_000), "name", "left_semi")
-    found = texts.select("text").mapInArrow(_sets(k), "key binary, members binary")
-    return found.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+        members = shared.join(split, "path", "left_semi").select("id", "path")
+        sets = class_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key"), k)
+        frontier = common.table(members.join(sets, "id").mapInArrow(_split, "id long, path long").distinct(), "frontier")
+    return found
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -272,6 +290,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return texts_of(docs).withColumn("row", F.monotonically_increasing_id())
 
 
+def class_sets(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
+    """``wanted`` (id, key and what else goes along) with members; only the texts of those ids are hashed again."""
+    wanted = common.bounded_broadcast(common.table(wanted, "wanted"), 500_000)
+    texts = numbered(docs).select("text", "row").join(wanted, F.col("row") == F.col("id")).drop("row")
+    keep = [f for f in wanted.schema.fields if f.name != "key"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "members binary"])
+    return texts.mapInArrow(_sets(k, [f.name for f in keep]), schema)
+
+
 def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
     """row, doc_id, class_id, n_links, component_id, kept for each row.
 
@@ -285,21 +312,21 @@ def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIM
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
         F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"),
     )
-    classes = common.table(classes.withColumn("least_id", F.col("least.doc_id")), "classes")
-    groups = components(candidates(docs, classes, k, limit)).withColumnRenamed("node", "key").withColumnRenamed("root", "grp")
-    groups = common.table(groups, "groups")
-    sets = class_sets(docs, classes, groups.select("key"), k).join(groups, "key").join(classes.select("key", "copies"), "key")
-    sizes = common.bounded_broadcast(common.table(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes"), 20_000)
-    dealt = _dealt(sets, sizes, "grp", ["key", "copies", "members"])
-    found = common.table(dealt.groupBy("grp", "i", "j").applyInArrow(_verified, "key binary, links long, root binary"), "found")
-    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("key").agg(F.sum("links").alias("links"))
-    each = classes.select("key", "copies", "least").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    each = common.table(each.select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "each")
-    firsts = each.groupBy("root").agg(F.min("least").alias("first"))
-    each = each.join(firsts, "root").select("key", F.col("least.doc_id").alias("class_id"), "n_links", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    classes = common.table(classes.withColumn("id", F.col("least.row")), "classes")
+    groups = components(candidates(docs, classes, k, limit)).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    wanted = classes.select("id", "key", "copies").join(groups.join(sizes, "grp"), "id")
+    dealt = _dealt(class_sets(docs, wanted, k), "grp", ["id", "copies", "members"])
+    found = common.table(dealt.groupBy("grp", "i", "j").applyInArrow(_verified, "id long, links long, root long"), "found")
+    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    linked = common.table(classes.select("id", "least").join(roots.join(counts, "id"), "id"), "linked")
+    firsts = linked.groupBy("root").agg(F.min("least").alias("first"))
+    linked = linked.join(firsts, "root").select("id", "links", "first")
+    each = classes.select("key", "id", "copies", "least").join(linked, "id", "left")
+    each = each.select("key", F.col("least.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("first"))
     return signed.select("row", "doc_id", "key").join(each, "key").select(
-        "row", "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("row") == F.col("first_row")).alias("kept")
+        "row", "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("first.doc_id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept")
     )
 
 
