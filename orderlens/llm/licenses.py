@@ -29,7 +29,7 @@ from .tokens import texts_of
 #: Words of a k-gram; diagonals that one band may step over; share of a notice's k-grams that a span must cover.
 K, STEP, COVER = 2, 3, 0.6
 #: Words whose hashes a worker keeps, and k-grams in one batch.
-CACHE, BATCH = 500_000, 200_000
+CACHE, BATCH = 200_000, 200_000
 
 #: The phrases whose places are counted, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))

@@ -27,8 +27,9 @@ from .tokens import texts_of, vocabulary
 
 #: Exponent of piece weights (0: all segmentations alike; large: the best one), and the seed.
 ALPHA, SEED = 1.0, 7
-#: Log weight of a character's byte pieces; characters of a batch; the longest unit that is filtered with others.
-BYTES_WEIGHT, BATCH, TOGETHER = -14.0, 1 << 21, 32
+#: Log weight of a character's byte pieces; characters and rows of a batch; the longest unit that is filtered with
+#: others, and how many at a time: these bound a worker's memory.
+BYTES_WEIGHT, BATCH, ROWS, TOGETHER, UNITS = -14.0, 1 << 20, 300, 32, 5000
 MARK = "▁"
 #: Odd multiplier of the rolling hash by which substrings are looked up among pieces.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +126,7 @@ class Lattice:
             weight[:, i, 1 : m + 1] = np.where(keep, run, 0.0)
         u, i, back = np.nonzero(weight)
         cum = weight[u, i, back]
-        self.table.append((cum, back, ids[u, i, back]))
+        self.table.append((cum, back.astype(np.int32), ids[u, i, back]))
         self.unit.update(zip(units, range(base + n, base + (n + 1) * len(units), n + 1), strict=True))
         self.states += (n + 1) * len(units)
 
@@ -153,7 +154,7 @@ class Lattice:
             cum += [state + p / run for p in parts]
             if run < 1e-200:  # long units: what is yet needed is scaled up
                 total[-most:] = [x * 1e200 for x in total[-most:]]
-        self.table.append((np.array(cum), np.array(back), np.array(ids, np.int32)))
+        self.table.append((np.array(cum), np.array(back, np.int32), np.array(ids, np.int32)))
         self.unit[unit] = base + n
         self.states += n + 1
 
@@ -172,8 +173,8 @@ class Lattice:
             by_size.setdefault(len(u), []).append(u)
         for size, own in sorted(by_size.items()):
             if size <= TOGETHER:
-                for a in range(0, len(own), 20_000):
-                    self.learn_all(own[a : a + 20_000], size)
+                for a in range(0, len(own), UNITS):
+                    self.learn_all(own[a : a + UNITS], size)
             else:
                 for u in own:
                     self.learn(u)
@@ -239,21 +240,21 @@ def sampled(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, alpha)
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             a = 0
-            while a < len(texts):
+            while a < batch.num_rows:
                 b, chars = a, 0
-                while b < len(texts) and (b == a or chars + len(texts[b]) <= BATCH):
-                    chars += len(texts[b])
+                while b < batch.num_rows and b < a + ROWS and (b == a or chars + len(batch.column("text")[b].as_py()) <= BATCH):
+                    chars += len(batch.column("text")[b].as_py())
                     b += 1
-                ids, n = model.sample([k or 0 for k in keys[a:b]], texts[a:b], seed)
+                part = batch.slice(a, b - a)
+                texts = part.column("text").to_pylist()
+                ids, n = model.sample([k or 0 for k in part.column("doc_id").to_pylist()], texts, seed)
                 cuts = np.concatenate([[0], np.cumsum(n)])
-                same = [model.decode(ids[i:j]) == t for i, j, t in zip(cuts, cuts[1:], texts[a:b], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(n), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), pa.array(same)],
-                    ["doc_id", "n_pieces", "ids", "lossless"],
-                )
+                same = [model.decode(ids[i:j]) == t for i, j, t in zip(cuts, cuts[1:], texts, strict=False)]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "lossless"])
                 a = b
+            model.forget()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 
