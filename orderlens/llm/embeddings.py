@@ -58,7 +58,7 @@ def usable(embedding) -> np.ndarray | None:
 def pivots_of(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Pivots by vector length: a bounded sample in the order of a hash, without near ones."""
     most = int(min(max(PIVOTS_PER_ROOT * n**0.5, PIVOTS_LEAST), PIVOTS_MOST))
-    sample = vectors.filter("embedding is not null").select("embedding").orderBy(F.xxhash64(F.col("embedding"), F.lit(17))).limit(2 * most).collect()
+    sample = common.hash_sample(vectors.filter("embedding is not null"), ["vec_id", "embedding"], 2 * most).collect()
     out: dict[int, list[np.ndarray]] = {}
     for row in sample:
         x = usable(row["embedding"])

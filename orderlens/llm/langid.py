@@ -54,11 +54,9 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log trigram likelihoods (a row each, then ``und``), from ``text`` and ``lang``."""
-    rows = (
-        labelled.filter("text is not null and lang is not null and lang <> ''")
-        .select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(FIT_ROWS).collect()
-    )
+    """Languages and their log trigram likelihoods (a row each, then ``und``), from doc_id, text and lang."""
+    labelled = labelled.filter("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text"))
+    rows = common.hash_sample(labelled, ["doc_id", "text"], FIT_ROWS).collect()
     names = sorted({r["lang"] for r in rows})
     counts = np.zeros((len(names) + 1, 1 << BITS))
     for r in rows:
@@ -160,13 +158,13 @@ def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with their columns; the source stands for the host."""
     own = docs.withColumn("__orderlens_row", F.monotonically_increasing_id())
     rows = own.select("__orderlens_row", F.col("text").cast("string").alias("text"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"))
-    found = identify(rows, *fitted(docs.select("text", "lang")), markup=False)
+    found = identify(rows, *fitted(docs.select("doc_id", "text", "lang")), markup=False)
     rejected = common.bounded_broadcast(common.table(found.filter(~F.col("accepted")).select("__orderlens_row"), "rejected"))
     return own.join(rejected, "__orderlens_row", "left_anti").select(*docs.columns)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages, the trigram model fitted on labelled documents."""
-    model = fitted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang"))
+    model = fitted(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     found = identify(page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet")), *model, markup=True)
     return found.select("page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host", "accepted")
