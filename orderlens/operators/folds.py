@@ -104,18 +104,23 @@ FINDINGS = "kind string, fold int, count long, detail string"
 
 
 def audit(spark: SparkSession, parts: DataFrame, label_horizon: int, embargo: int, specs: Sequence[FeatureSpec] = (), row: str = "row") -> DataFrame:
-    """Findings over rows with fold and part, one row for each kind and fold that has any; empty means clean."""
-    blocks = parts.filter("part = 'test'").groupBy("fold").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    train = parts.filter("part = 'train'").join(F.broadcast(blocks), "fold")
-    found = train.groupBy("fold").agg(
+    """Findings over rows with fold and part, one row for each kind and fold that has any; empty means clean.
+
+    Where the rows have a symbol, rows are numbered within it: blocks and findings are those of a symbol and fold.
+    """
+    by = [c for c in ("symbol", "fold") if c in parts.columns]
+    blocks = parts.filter("part = 'test'").groupBy(*by).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    train = parts.filter("part = 'train'").join(F.broadcast(blocks), by)
+    found = train.groupBy(*by).agg(
         F.count_if(label_overlaps(train, F.col("lo"), F.col("hi"), label_horizon, row)).alias("label_overlap"),
         (F.count_if(embargo_breaches(F.col("lo"), F.col("hi"), embargo, row)) if embargo else F.lit(0).cast("long")).alias("embargo_breach"),
     )
-    rows = found.select("fold", F.expr("stack(2, 'label_overlap', label_overlap, 'embargo_breach', embargo_breach) as (kind, count)")).filter("count > 0")
-    rows = rows.select("kind", "fold", "count", F.concat(F.col("count"), F.lit(" training rows reach the test block of fold "), F.col("fold")).alias("detail"))
+    rows = found.select(*by, F.expr("stack(2, 'label_overlap', label_overlap, 'embargo_breach', embargo_breach) as (kind, count)")).filter("count > 0")
+    of = [x for c in by for x in (F.lit(f" of {c} " if c == by[0] else f", {c} "), F.col(c))]
+    rows = rows.select(*by[:-1], "kind", "fold", "count", F.concat(F.col("count"), F.lit(" training rows reach the test block"), *of).alias("detail"))
     ahead = future_features(specs)
     extra = spark.createDataFrame([("future_feature", None, len(ahead), ",".join(ahead))] if ahead else [], FINDINGS)
-    return rows.unionByName(extra)
+    return rows.unionByName(extra, allowMissingColumns=True)
 
 
 def audit_fold(fold: Fold, label_horizon: int, embargo: int, specs: Sequence[FeatureSpec] = ()) -> list[tuple[str, int]]:

@@ -338,16 +338,36 @@ def leak_sql(condition: str) -> str:
 select p.fold, count(*) as n from parts p join blocks b on p.fold = b.fold where part = 'train' and symbol = 'S0' and ({condition}) group by 1"""
 
 
+def _leaks(spark, sf_dir, label_horizon, embargo, kind):
+    """symbol, fold, n of a kind of finding, for every symbol."""
+    return folds.audit(spark, _parts(spark, sf_dir), label_horizon, embargo).filter(F.col("kind") == kind).select("symbol", "fold", F.col("count").alias("n"))
+
+
 @query(leak_sql("row + 40 >= lo and row <= hi"))
 def label_overlap(spark, sf_dir):
-    parts = _parts(spark, sf_dir).filter("symbol = 'S0'")
-    return folds.audit(spark, parts, 40, 0).filter("kind = 'label_overlap'").select("fold", F.col("count").alias("n"))
+    """The findings of S0 alone, as its SQL has them; ``label_overlap_symbols`` has all."""
+    return _leaks(spark, sf_dir, 40, 0, "label_overlap").filter("symbol = 'S0'").select("fold", "n")
 
 
 @query(leak_sql("(row >= lo - 30 and row < lo) or (row > hi and row <= hi + 30)"))
 def embargo_breach(spark, sf_dir):
-    parts = _parts(spark, sf_dir).filter("symbol = 'S0'")
-    return folds.audit(spark, parts, 0, 30).filter("kind = 'embargo_breach'").select("fold", F.col("count").alias("n"))
+    """The findings of S0 alone, as its SQL has them; ``embargo_breach_symbols`` has all."""
+    return _leaks(spark, sf_dir, 0, 30, "embargo_breach").filter("symbol = 'S0'").select("fold", "n")
+
+
+def leaks_sql(condition: str) -> str:
+    return PARTS_SQL + f""", blocks as (select symbol, fold, min(row) as lo, max(row) as hi from parts where part = 'test' group by 1, 2)
+select p.symbol, p.fold, count(*) as n from parts p join blocks b on p.symbol = b.symbol and p.fold = b.fold where part = 'train' and ({condition}) group by 1, 2"""
+
+
+@query(leaks_sql("row + 40 >= lo and row <= hi"))
+def label_overlap_symbols(spark, sf_dir):
+    return _leaks(spark, sf_dir, 40, 0, "label_overlap")
+
+
+@query(leaks_sql("(row >= lo - 30 and row < lo) or (row > hi and row <= hi + 30)"))
+def embargo_breach_symbols(spark, sf_dir):
+    return _leaks(spark, sf_dir, 0, 30, "embargo_breach")
 
 
 # --- false discoveries

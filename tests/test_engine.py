@@ -13,6 +13,7 @@ from orderlens import schema as S
 from orderlens.functions import book as B
 from orderlens.operators import book as K
 from orderlens.operators import buckets, estimators, fdr, features, folds, gate, resample, studies
+from orderlens.plans import queries
 from orderlens.simulate import OrderFlowSimulator, SimConfig, simulate, stream
 from orderlens.sources import files
 from orderlens.streaming.replay import Ladder, run_stream, streaming_replay
@@ -351,6 +352,19 @@ def test_leaks_by_hand(spark, train, test, h, e, want):
     assert {r["kind"]: r["count"] for r in folds.audit(spark, rows, h, e).collect()} == want
 
 
+def test_leaks_of_each_symbol(spark):
+    lines = [("A", 0, 9, "train"), ("A", 0, 10, "test"), ("A", 0, 11, "test"), ("B", 0, 9, "train"), ("B", 0, 8, "train"), ("B", 0, 50, "test")]
+    lines += [("C", 1, 3, "train"), ("C", 1, 4, "test")]
+    found = folds.audit(spark, spark.createDataFrame(lines, "symbol string, fold int, row long, part string"), 1, 2).collect()
+    assert {(r["symbol"], r["fold"], r["kind"], r["count"]) for r in found} == {("A", 0, "label_overlap", 1), ("A", 0, "embargo_breach", 1), ("C", 1, "label_overlap", 1), ("C", 1, "embargo_breach", 1)}
+
+
+def test_audit_queries_cover_every_symbol(spark):
+    for name in ("label_overlap_symbols", "embargo_breach_symbols"):
+        found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        assert {r["symbol"] for r in found} == {f"S{i}" for i in range(5)}
+
+
 def test_future_features(spark):
     specs = [S.FeatureSpec("a", "", info_offset=3), S.FeatureSpec("b", "", is_label=True, horizon=10, info_offset=10), S.FeatureSpec("c", "")]
     assert folds.future_features(specs) == ["a"] and not specs[0].causal and specs[2].causal
