@@ -185,14 +185,15 @@ def family_table(results: Sequence[EstimationResult], spark: SparkSession) -> Da
     return made.select("name", "metric", "point", "ci_low", "ci_high", F.col("p_value_raw").alias("p_raw"), F.col("p_value_adj").alias("p_adj"), "rejected", F.coalesce(F.try_element_at("extra", F.lit("n_obs")).cast("long"), "n_obs").alias("n_obs"), horizon.alias("horizon"))
 
 
-def robustness(rows: DataFrame, symbols: Sequence[str], n_resamples: int = R.BOOTSTRAP_N_RESAMPLES) -> list[tuple]:
-    """(ticker, ofi_R2, ofi_R2_lo, ofi_R2_hi, ofi_slope, qi_auc, qi_auc_lo, qi_auc_hi) of each symbol alone."""
-    out = []
-    for s in symbols:
+def robustness(rows: DataFrame, symbols: Sequence[str] | None = None, n_resamples: int = R.BOOTSTRAP_N_RESAMPLES) -> list[tuple]:
+    """(ticker, ofi_R2, ofi_R2_lo, ofi_R2_hi, ofi_slope, qi_auc, qi_auc_lo, qi_auc_hi) of each symbol alone; of every symbol by default."""
+    rows, out = rows.persist(), []
+    for s in sorted(r["symbol"] for r in rows.select("symbol").distinct().collect()) if symbols is None else symbols:
         own = rows.filter(F.col("symbol") == s)
         slope, r2 = ofi_contemporaneous(own, n_resamples=n_resamples)
         q = queue_imbalance(own, n_resamples=n_resamples)
         out.append((s, r2.point, r2.ci_low, r2.ci_high, slope.point, q.point, q.ci_low, q.ci_high))
+    rows.unpersist()
     return out
 
 

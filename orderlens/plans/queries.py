@@ -495,7 +495,7 @@ def impact_exponent(spark, sf_dir):
 
 @query()
 def robustness(spark, sf_dir):
-    rows = studies.robustness(prims(spark, sf_dir), ["S0", "S1"], n_resamples=50)
+    rows = studies.robustness(prims(spark, sf_dir))
     return spark.createDataFrame(rows, "ticker string, ofi_R2 double, ofi_R2_lo double, ofi_R2_hi double, ofi_slope double, qi_auc double, qi_auc_lo double, qi_auc_hi double")
 
 

@@ -557,3 +557,12 @@ def test_linearity_and_robustness(spark):
     slope, r2 = studies.ofi_contemporaneous(rows, 20, n_resamples=20)
     assert abs(fit["slope"] / slope.point - 1) < 1e-9 and abs(fit["r2"] - r2.point) < 1e-9
     assert len(studies.robustness(rows, ["A"], n_resamples=20)[0]) == 8
+
+
+def test_robustness_covers_every_symbol(spark, monkeypatch):
+    assert [r[0] for r in studies.robustness(synthetic(spark, 1500, ("B", "A", "C")), n_resamples=5)] == ["A", "B", "C"]
+    seen = []
+    monkeypatch.setattr(studies, "block_bootstrap_ci", lambda *a, f=studies.block_bootstrap_ci, **k: seen.append(k["n_resamples"]) or f(*a, **k | {"n_resamples": 5}))
+    monkeypatch.setattr(studies, "auc_ci", lambda *a, f=studies.auc_ci, **k: seen.append(k["n_resamples"]) or f(*a, **k | {"n_resamples": 5}))
+    rows = queries.QUERIES["robustness"](spark, "/root/testdata/sf0.01").collect()
+    assert [r["ticker"] for r in rows] == [f"S{i}" for i in range(5)] and set(seen) == {R.BOOTSTRAP_N_RESAMPLES}
