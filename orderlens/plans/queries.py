@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,8 @@ from .flow import FLOW_SQL, KEYED_SQL, TOUCH_SQL, order_flow, touch_book
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Rows of a bucket, horizons and lags that the small tables have rows for; levels of replayed books.
+#: Rows of a bucket, horizons and lags that the small tables have rows for; levels of replayed books. The rest of the
+#: registered horizons are in ``feature_frame_grid``, ``ofi_forward_h50`` and so on, and the family.
 BUCKET, HORIZONS, LAGS, LEVELS = 10, (1, 5, 10, 20), (1, 5, 10, 20, 50), 3
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -120,15 +121,21 @@ def tick_rule_accuracy(spark, sf_dir):
 
 
 RV = 20
-FEATURE_SQL = BOTH + f""", {OFI_SQL}, {TICK_SQL},
+
+
+def feature_sql(horizons: Sequence[int]) -> str:
+    return BOTH + f""", {OFI_SQL}, {TICK_SQL},
 logs as (select symbol, seq, ln({MID}) as lm, {MID} as mid, case when {PRESENT} then cast(ask_px_1 - bid_px_1 as double) end as spread, cast(ask_sz_1 + bid_sz_1 as double) as depth from touch),
 rets as (select *, lm - lag(lm) over (partition by symbol order by seq) as r from logs),
-feats as (select *, case when count(r) over t = {RV} then sqrt(sum(r * r) over t) end as rv, {", ".join(f"lead(lm, {h}) over w - lm as fwd_ret_{h}" for h in HORIZONS)} from rets
+feats as (select *, case when count(r) over t = {RV} then sqrt(sum(r * r) over t) end as rv, {", ".join(f"lead(lm, {h}) over w - lm as fwd_ret_{h}" for h in horizons)} from rets
   window w as (partition by symbol order by seq), t as (partition by symbol order by seq rows between {RV - 1} preceding and current row))
-select f.symbol, f.seq, f.mid, o.ofi, round(o.queue_imbalance, 9) as queue_imbalance, t.tick_sign, f.depth, f.spread, round(rv, 9) as rv_{RV}, {", ".join(f"round(fwd_ret_{h}, 9) as fwd_ret_{h}" for h in HORIZONS)}
+select f.symbol, f.seq, f.mid, o.ofi, round(o.queue_imbalance, 9) as queue_imbalance, t.tick_sign, f.depth, f.spread, round(rv, 9) as rv_{RV}, {", ".join(f"round(fwd_ret_{h}, 9) as fwd_ret_{h}" for h in horizons)}
 from feats f join ofis o on f.symbol = o.symbol and f.seq = o.seq left join ticks t on f.symbol = t.symbol and f.seq = t.seq"""
 
 
+FEATURE_SQL = feature_sql(HORIZONS)
+
+
 @query(FEATURE_SQL)
 def feature_frame(spark, sf_dir):
     return rounded(PointInTimeFeatureEngine(HORIZONS, RV).compute(order_flow(spark, sf_dir), touch_book(spark, sf_dir)))
@@ -139,6 +146,12 @@ def feature_frame_chunked(spark, sf_dir):
     return rounded(PointInTimeFeatureEngine(HORIZONS, RV).compute(order_flow(spark, sf_dir), touch_book(spark, sf_dir), chunk=128))
 
 
+@query(feature_sql(R.HORIZON_GRID_EVENTS))
+def feature_frame_grid(spark, sf_dir):
+    """All registered horizons."""
+    return rounded(PointInTimeFeatureEngine(R.HORIZON_GRID_EVENTS, RV).compute(order_flow(spark, sf_dir), touch_book(spark, sf_dir)))
+
+
 # --- buckets and bins
 
 PRIMS_SQL = BOTH + f""", {OFI_SQL}, signed as (select symbol, seq, cast(case when event_type in (4, 5) then -cast(direction as bigint) * size else 0 end as double) as signed_size from flow)"""
@@ -223,10 +236,11 @@ def _forward(h: int) -> Query:
         return estimate_row(spark, studies.ofi_forward(prims(spark, sf_dir), [h]))
 
     run.__name__ = f"ofi_forward_h{h}"
-    return query(forward_sql(h))(run)
+    # a table without a usable fold at a long horizon has no row
+    return query(forward_sql(h) + ("" if h in HORIZONS else " where n > 0"))(run)
 
 
-for _h in HORIZONS:
+for _h in R.HORIZON_GRID_EVENTS:
     _forward(_h)
 
 
@@ -467,8 +481,8 @@ def transition_invariant(spark, sf_dir):
 
 @query()
 def family(spark, sf_dir):
-    """The registered family at horizons that the table has rows for, with few resamples."""
-    return studies.family_table(studies.run_family(prims(spark, sf_dir), n_resamples=200, horizons=HORIZONS), spark)
+    """The registered family; a horizon without a usable fold, or lags without a symbol of enough trades, have no row."""
+    return studies.family_table(studies.run_family(prims(spark, sf_dir)), spark)
 
 
 @query()

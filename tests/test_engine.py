@@ -566,3 +566,15 @@ def test_robustness_covers_every_symbol(spark, monkeypatch):
     monkeypatch.setattr(studies, "auc_ci", lambda *a, f=studies.auc_ci, **k: seen.append(k["n_resamples"]) or f(*a, **k | {"n_resamples": 5}))
     rows = queries.QUERIES["robustness"](spark, "/root/testdata/sf0.01").collect()
     assert [r["ticker"] for r in rows] == [f"S{i}" for i in range(5)] and set(seen) == {R.BOOTSTRAP_N_RESAMPLES}
+
+
+def test_family_query_is_the_registered_family(spark):
+    rows = {r["name"]: r for r in queries.QUERIES["family"](spark, "/root/testdata/sf0.1").collect()}
+    want = {f"{kind}{h}" for kind in ("ofi_forward_h", "sign_autocorr_lag") for h in R.HORIZON_GRID_EVENTS}
+    assert want < set(rows) and len(rows) == R.family_size()
+    ps = [r["p_raw"] for r in rows.values()]
+    assert all(abs(r["p_adj"] - adj) < 1e-12 for r, adj in zip(rows.values(), bh_reference(ps, R.FDR_ALPHA)[1], strict=True))
+
+
+def test_every_registered_horizon_has_queries():
+    assert {f"ofi_forward_h{h}" for h in R.HORIZON_GRID_EVENTS} < set(queries.QUERIES) and all(f"fwd_ret_{h}" in queries.ORACLES["feature_frame_grid"] for h in R.HORIZON_GRID_EVENTS)
