@@ -159,6 +159,16 @@ def test_search_is_exact(docs, empty, block, postings):
         assert search.top_k(docs, empty).count() == 0 and search.top_k(empty, empty).count() == 0
 
 
+def test_unseen_query_words_count_for_nothing(spark, docs, empty):
+    items = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    seen = next(t for _, t in items if t and len(licenses.words_of(t)) > 3)
+    lines = [(1, "qqzx " + seen + " zzqj vvkx"), (2, "qqzx zzqj"), (3, "zzqj " + " ".join(f"xq{i}vv" for i in range(50)))]
+    asked = spark.createDataFrame(lines, "doc_id long, text string")
+    got = [(q, r, d, round(s, 5)) for q, r, d, s in rows(search.top_k(docs, asked, top=4))]
+    assert got and sorted(got, key=str) == sorted(brute_search(items, lines, 4), key=str) and {x[0] for x in got} == {1}
+    assert search.top_k(empty, asked).count() == 0
+
+
 def test_block_pruning_skips_and_stays_exact():
     rng = np.random.default_rng(3)
     held = [(i, np.unique(rng.integers(0, 40, 12)), None, 30, int(i % 5)) for i in range(2000)]
