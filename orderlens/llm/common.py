@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its counted rows stay at or under this bound.
@@ -66,6 +66,27 @@ def hash_sample(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return df.withColumn("__spot", spot).orderBy("__spot").limit(n).drop("__spot")
 
 
+def dealt_sample(df: DataFrame, by: str, columns: list[str], n: int) -> DataFrame:
+    """At most ``n`` rows dealt over the values of ``by``: of each, as many as all can have, and one at least.
+
+    The values come from a count over all rows. Of each value the rows of the smallest hash of ``columns`` are taken;
+    rows far beyond them are dropped by a bound on the hash before anything is shuffled.
+    """
+    counts = {r[by]: r["count"] for r in df.groupBy(by).count().collect()}
+    left, share = n, 1
+    for i, size in enumerate(sorted(counts.values())):
+        share = max(1, left // (len(counts) - i))
+        if size > share:
+            break
+        left -= size
+    whole = 2**63 - 1
+    bounds = [(k, whole if size <= 2 * share + 40 else int(2**63 * (2 * (2 * share + 40) / size - 1))) for k, size in counts.items()]
+    kept = F.broadcast(df.sparkSession.createDataFrame(bounds, "__by string, __bound long"))
+    near = df.withColumn("__spot", F.xxhash64(*columns, F.lit(17))).join(kept, (F.col(by) == F.col("__by")) & (F.col("__spot") <= F.col("__bound")))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("__spot"))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= share).drop("__by", "__bound", "__spot", "__rank")
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder or file in the shared store."""
     from pyarrow import fs

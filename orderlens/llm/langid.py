@@ -6,7 +6,8 @@ two steps, all rows to domain to host, and the tables of declared languages and
 grouped sums of the text posteriors over all rows, each row's own share left out again. An extra class,
 ``und``, has a uniform text likelihood and takes what none of the languages explains.
 
-The trigram model is fitted on a bounded sample of labelled documents; every other figure covers all rows.
+The trigram model is fitted on a bounded sample of labelled documents, dealt over all their languages; every other
+figure covers all rows.
 A hot host is summed before it is shuffled, and the sums are joined back as a broadcast if they were counted
 to be few, else by a shuffled join that AQE splits.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that the trigram model is fitted on, and the characters of each.
+#: Labelled rows that the trigram model is fitted on, over all languages, and the characters of each.
 FIT_ROWS, FIT_CHARS = 4000, 2000
 #: Trigrams beyond which a text's evidence no longer grows, and the weight of one (they overlap).
 FULL, TEMPER = 300, 0.3
@@ -56,7 +57,7 @@ def trigrams(text: str) -> np.ndarray:
 def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram likelihoods (a row each, then ``und``), from doc_id, text and lang."""
     labelled = labelled.filter("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text"))
-    rows = common.hash_sample(labelled, ["doc_id", "text"], FIT_ROWS).collect()
+    rows = common.dealt_sample(labelled, "lang", ["doc_id", "text"], FIT_ROWS).collect()
     names = sorted({r["lang"] for r in rows})
     counts = np.zeros((len(names) + 1, 1 << BITS))
     for r in rows:

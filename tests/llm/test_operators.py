@@ -131,6 +131,17 @@ def test_language_documents(docs, empty):
     assert langid.accepted_documents(empty).count() == 0
 
 
+def test_rare_languages_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_ROWS", 60)
+    made = [(i, f"the cat sat on the mat {i}", "en") for i in range(3000)] + [(5000 + i, f"le chat est sur le tapis {i}", "fr") for i in range(300)] + [(9000, "zq xq vq kq zqx", "qq")]
+    labelled = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(4)
+    names, table = langid.fitted(labelled)
+    assert names == ["en", "fr", "qq", "und"] and table.shape[0] == 4
+    taken = Counter(r["lang"] for r in common.dealt_sample(labelled, "lang", ["doc_id", "text"], 60).collect())
+    assert taken["qq"] == 1 and taken["fr"] == taken["en"] == 29
+    assert common.dealt_sample(labelled, "lang", ["doc_id", "text"], 4000).count() == len(made)
+
+
 # --- 3
 
 def brute_search(items, queries, top):
