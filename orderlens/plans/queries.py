@@ -520,7 +520,7 @@ def simulated_flow(spark, sf_dir):
 
 @query()
 def recovery(spark, sf_dir):
-    return gate.recovery_curve(gate.recover(spark, n_events=2000, seeds=range(1, 9)))
+    return gate.recovery_curve(gate.recover(spark))
 
 
 @query()

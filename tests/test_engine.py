@@ -578,3 +578,10 @@ def test_family_query_is_the_registered_family(spark):
 
 def test_every_registered_horizon_has_queries():
     assert {f"ofi_forward_h{h}" for h in R.HORIZON_GRID_EVENTS} < set(queries.QUERIES) and all(f"fwd_ret_{h}" in queries.ORACLES["feature_frame_grid"] for h in R.HORIZON_GRID_EVENTS)
+
+
+def test_recovery_query_has_all_seeds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.gate, "recover", lambda spark, *a, f=gate.recover, **k: seen.append((a, k)) or f(spark, *a, **k | {"n_events": 500}))
+    curve = queries.QUERIES["recovery"](spark, "").collect()
+    assert seen == [((), {})] and {r["beta"]: r["n_seeds"] for r in curve} == dict.fromkeys(gate.BETAS, gate.N_SEEDS)
