@@ -8,11 +8,12 @@ A file holds a run of documents in ascending doc_id order, as frames of one bloc
 triples of 64-bit numbers (doc_id, ids in this block, flags: 1 continued from the block before, 2 null doc_id).
 The code is a block as ``coder`` writes it, with a checksum of its own; every block is read independently.
 
-Documents are range-partitioned by id and each task writes one file under a name of its own; only files that
-the manifest names, which Spark commits, are part of the store. Files are read as a stream of frames.
+Texts are range-partitioned by id, and by a hash of the text so that a repeated id is no hot key; they are encoded
+after that shuffle, once, and each task writes one file under a name of its own. Only files that the manifest names, which
+Spark commits, are part of the store. Files are read as a stream of frames.
 
 Defined results: null text has no ids but the end id; null doc_ids come first; repeated doc_ids are documents
-each, ordered by their ids; an empty table gives an empty store. Only doc_id and text are read.
+each, ordered by the hash of their texts; an empty table gives an empty store. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,22 +37,10 @@ MAGIC = b"TIDB"
 MANIFEST = "part int, file string, n_docs long, n_ids long, n_blocks long"
 
 
-def _encoded(path: str, end: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                raw = [np.append(x, np.uint32(end)).astype(f"<u{width}").tobytes() for x in encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "ids"])
-
-    return run
-
-
-def _blocks(width: int, bits: int, size: int):
+def _blocks(path: str, end: int, width: int, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(table, raw) for each block of the partition's documents."""
-        head = bytes([width, bits])
+        encode, head = encoder(path), bytes([width, bits])
         table: list[tuple[int, int, int]] = []
         raw: list[bytes] = []
         have = 0
@@ -65,19 +54,21 @@ def _blocks(width: int, bits: int, size: int):
             return out
 
         for batch in batches:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                ids, flags = ids.as_py(), 2 if doc is None else 0
-                while True:
-                    room = (size - have) * width
-                    part, ids = ids[:room], ids[room:]
-                    table.append((doc or 0, len(part) // width, flags))
-                    raw.append(part)
-                    have += len(part) // width
-                    if have == size:
-                        yield block()
-                    if not ids:
-                        break
-                    flags |= 1
+            docs = batch.column("doc_id").to_pylist()
+            for a, b, found in encode.batches(batch.column("text")):
+                for doc, ids in zip(docs[a:b], found, strict=True):
+                    left, flags = np.append(ids, np.uint32(end)).astype(f"<u{width}").tobytes(), 2 if doc is None else 0
+                    while True:
+                        room = (size - have) * width
+                        part, left = left[:room], left[room:]
+                        table.append((doc or 0, len(part) // width, flags))
+                        raw.append(part)
+                        have += len(part) // width
+                        if have == size:
+                            yield block()
+                        if not left:
+                            break
+                        flags |= 1
         if table:
             yield block()
 
@@ -115,9 +106,9 @@ def write_ids(docs: DataFrame, path: str, to: str, end: int = END, block: int =
     n = max(_size_of(path), end + 1)
     bits = max(4, (n - 1).bit_length() + (-(n - 1).bit_length()) % 4)
     width = 2 if bits <= 16 else 4
-    ids = texts_of(docs).mapInArrow(_encoded(path, end, width), "doc_id long, ids binary")
-    placed = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    coded = placed.mapInArrow(_blocks(width, bits, block), "docs binary, raw binary").select("docs", F.call_function(coder.ENCODE, "raw").alias("code"))
+    place = ["doc_id", F.xxhash64("text")]
+    placed = texts_of(docs).repartitionByRange(*place).sortWithinPartitions(*place)
+    coded = placed.mapInArrow(_blocks(path, end, width, bits, block), "docs binary, raw binary").select("docs", F.call_function(coder.ENCODE, "raw").alias("code"))
     coded.mapInArrow(_written(f"{to}/files"), MANIFEST).write.parquet(f"{to}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{to}/manifest")
 
