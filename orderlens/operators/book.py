@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import book as B
 from ..schema import NO_ASK, NO_BID, REDUCTIONS, book_columns
+from ..series import by_session
 
 #: Rows of a bin of the interval join.
 BIN = 256
 
 
+@by_session
 def order_deltas(events: DataFrame) -> DataFrame:
     """symbol, seq, side, price, delta: what each event adds to a level, by order id.
 
@@ -39,6 +41,7 @@ def order_deltas(events: DataFrame) -> DataFrame:
     return rows.select("symbol", "seq", "side", "price", (F.col("left") - F.coalesce(F.lag("left").over(life), F.lit(0))).alias("delta"))
 
 
+@by_session
 def level_deltas(events: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """symbol, seq, side, price, delta by the message's own price and side; ``seed`` has levels at the start (seq -1 or 0)."""
     signed = F.when(F.col("event_type") == 1, F.col("size")).otherwise(-F.col("size"))
@@ -46,6 +49,7 @@ def level_deltas(events: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     return rows if seed is None else rows.unionByName(seed.select("symbol", "seq", "side", "price", F.col("size").alias("delta")))
 
 
+@by_session
 def level_sizes(deltas: DataFrame, clamped: bool = False) -> DataFrame:
     """symbol, side, price, seq, until, size: the sizes of levels over [seq, until); ``until`` NULL for the last.
 
@@ -61,6 +65,7 @@ def level_sizes(deltas: DataFrame, clamped: bool = False) -> DataFrame:
     return rows.select("symbol", "side", "price", "seq", F.lead("seq").over(level).alias("until"), F.col("run").alias("size"))
 
 
+@by_session
 def snapshots(rows: DataFrame, sizes: DataFrame, levels: int, bin_rows: int = BIN) -> DataFrame:
     """symbol, seq and the best ``levels`` of each side after every row of ``rows``, empty ones as sentinels.
 
@@ -92,6 +97,7 @@ def snapshots(rows: DataFrame, sizes: DataFrame, levels: int, bin_rows: int = BI
     return out.select("symbol", "seq", *columns)
 
 
+@by_session
 def replay(events: DataFrame, levels: int, bin_rows: int = BIN) -> DataFrame:
     """The book after every event, from the events alone, by order id."""
     if levels < 1:
@@ -99,6 +105,7 @@ def replay(events: DataFrame, levels: int, bin_rows: int = BIN) -> DataFrame:
     return snapshots(events, level_sizes(order_deltas(events)), levels, bin_rows)
 
 
+@by_session
 def seed_levels(book: DataFrame, levels: int) -> DataFrame:
     """symbol, seq, side, price, size of the levels shown in each symbol's first row."""
     first = book.filter("seq = 0")
@@ -106,12 +113,14 @@ def seed_levels(book: DataFrame, levels: int) -> DataFrame:
     return first.select("symbol", "seq", F.explode(F.array(*rows)).alias("l")).select("symbol", "seq", "l.*").filter(~F.col("price").isin(NO_ASK, NO_BID) & (F.col("size") > 0))
 
 
+@by_session
 def seeded_replay(events: DataFrame, book: DataFrame, levels: int, seed_depth: int | None = None, bin_rows: int = BIN) -> DataFrame:
     """The book by price level from the first row's levels on; the first row is that row itself."""
     deltas = level_deltas(events.filter("seq > 0"), seed_levels(book, seed_depth or levels))
     return snapshots(events, level_sizes(deltas, clamped=True), levels, bin_rows)
 
 
+@by_session
 def both(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
     """Rows of two books side by side, theirs as ref_*; a ValueError if columns or rows differ."""
     names = book_columns(levels)
@@ -130,6 +139,7 @@ def _same(levels: range, sides: tuple[str, ...] = ("ask", "bid")) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f"{s}_{w}_{i}") == F.col(f"ref_{s}_{w}_{i}") for i in levels for s in sides for w in ("px", "sz")])
 
 
+@by_session
 def differential(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
     """One row: n_rows, row_match_rate, cell_match_rate, level_i_match_rate; rates are NULL without rows."""
     rate = lambda c: F.avg(c.cast("double"))
@@ -140,6 +150,7 @@ def differential(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
     )
 
 
+@by_session
 def mismatches(a: DataFrame, b: DataFrame, levels: int, n: int = 5) -> DataFrame:
     """The first rows that differ, with both sides."""
     names = book_columns(levels)
@@ -147,6 +158,7 @@ def mismatches(a: DataFrame, b: DataFrame, levels: int, n: int = 5) -> DataFrame
     return rows.select("symbol", "seq", F.struct(*names).alias("reconstructed"), F.struct(*[F.col(f"ref_{c}").alias(c) for c in names]).alias("reference")).orderBy("symbol", "seq").limit(n)
 
 
+@by_session
 def transition_invariant(events: DataFrame, book: DataFrame, levels: int) -> DataFrame:
     """symbol, checked, violations: submits add and reductions take their size where the price shows before and after."""
     names = book_columns(levels)
@@ -161,6 +173,7 @@ def transition_invariant(events: DataFrame, book: DataFrame, levels: int) -> Dat
     return events.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("violations", F.lit(0)).alias("violations"))
 
 
+@by_session
 def seeded_match(events: DataFrame, book: DataFrame, levels: int, reliable: int = 5, bin_rows: int = BIN) -> DataFrame:
     """symbol, n_rows, touch_match, depth_match, exact_prefix of the seeded replay (the first row matches by construction)."""
     depth = min(levels, reliable)
@@ -173,6 +186,7 @@ def seeded_match(events: DataFrame, book: DataFrame, levels: int, reliable: int
     )
 
 
+@by_session
 def outside_window(events: DataFrame, book: DataFrame, levels: int) -> DataFrame:
     """Events with ``in_window``: whether the price lies within the prices shown on its side."""
     def shown(side: str, empty: int) -> Column:

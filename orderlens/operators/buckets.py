@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import book as B
+from ..series import by_session
 
 
+@by_session
 def bucketed(rows: DataFrame, bucket: int, sums: tuple[str, ...] = (), closes: tuple[str, ...] = (), by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """by, bucket, sums (unknown counts as 0) and closes (kept unknown) of the full buckets of ``bucket`` rows."""
     if bucket < 1:
@@ -31,6 +33,7 @@ def mid_change(close: str = "mid_close", by: tuple[str, ...] = ("symbol",)) -> C
     return log_close - F.lag(log_close).over(Window.partitionBy(*by).orderBy("bucket"))
 
 
+@by_session
 def with_changes(buckets: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Adds ``change`` (over this bucket) and ``next_change`` (over the next one)."""
     w = Window.partitionBy(*by).orderBy("bucket")

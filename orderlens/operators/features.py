@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import book as B
 from ..registry import HORIZON_GRID_EVENTS
-from ..schema import FeatureSpec
+from ..schema import column_spec
+from ..series import by_session
 
 RV_WINDOW = 20
 
@@ -34,17 +36,18 @@ class PointInTimeFeatureEngine:
             raise ValueError(f"rv_window must be at least 1, not {rv_window}")
         self.horizons, self.rv_window = tuple(horizons), rv_window
 
-    def specs(self) -> list[FeatureSpec]:
+    def specs(self) -> list[T.StructField]:
         return [
-            FeatureSpec("ofi", "order-flow imbalance at the touch against the row before"),
-            FeatureSpec("queue_imbalance", "bid less ask size over their sum at the touch"),
-            FeatureSpec("tick_sign", "tick-rule sign of an execution"),
-            FeatureSpec("depth", "displayed size of all levels"),
-            FeatureSpec("spread", "ask less bid price at the touch"),
-            FeatureSpec(f"rv_{self.rv_window}", f"realised volatility of {self.rv_window} mid returns"),
-            *(FeatureSpec(f"fwd_ret_{h}", f"log mid return over the next {h} events", is_label=True, horizon=h) for h in self.horizons),
+            column_spec("ofi", "order-flow imbalance at the touch against the row before"),
+            column_spec("queue_imbalance", "bid less ask size over their sum at the touch"),
+            column_spec("tick_sign", "tick-rule sign of an execution"),
+            column_spec("depth", "displayed size of all levels"),
+            column_spec("spread", "ask less bid price at the touch"),
+            column_spec(f"rv_{self.rv_window}", f"realised volatility of {self.rv_window} mid returns"),
+            *(column_spec(f"fwd_ret_{h}", f"log mid return over the next {h} events", horizon=h) for h in self.horizons),
         ]
 
+    @by_session
     def compute(self, events: DataFrame, book: DataFrame, chunk: int | None = None) -> DataFrame:
         """symbol, seq, mid and a column for each spec, carrying the spec as its metadata."""
         missing = [c for c in ("ask_px_1", "ask_sz_1", "bid_px_1", "bid_sz_1") if c not in book.columns]
@@ -71,10 +74,11 @@ class PointInTimeFeatureEngine:
         return rows.select("symbol", "seq", "mid", *[self._described(s) for s in self.specs()])
 
     @staticmethod
-    def _described(spec: FeatureSpec) -> Column:
-        return F.col(spec.name).alias(spec.name, metadata=spec.metadata())
+    def _described(spec: T.StructField) -> Column:
+        return F.col(spec.name).alias(spec.name, metadata=spec.metadata)
 
 
+@by_session
 def tick_signs(rows: DataFrame, chunk: int | None = None) -> DataFrame:
     """Adds ``tick_sign``: the sign of the last price change among executions, NULL elsewhere and before one."""
     if chunk is None:
@@ -101,6 +105,7 @@ def tick_signs(rows: DataFrame, chunk: int | None = None) -> DataFrame:
     return marked.withColumn("tick_sign", F.when(B.is_execution(), F.coalesce(held, F.col("before_sign")))).drop("entry", "before_sign", "__move")
 
 
+@by_session
 def tick_accuracy(events: DataFrame) -> DataFrame:
     """symbol, n_graded, accuracy of the tick rule against the true initiator (NULL without graded trades)."""
     known = tick_signs(events).filter(F.col("tick_sign").isNotNull())
@@ -108,6 +113,7 @@ def tick_accuracy(events: DataFrame) -> DataFrame:
     return events.select("symbol").distinct().join(graded, "symbol", "left").select("symbol", F.coalesce("n_graded", F.lit(0)).alias("n_graded"), "accuracy")
 
 
+@by_session
 def primitives(events: DataFrame, book: DataFrame) -> DataFrame:
     """What the studies read: symbol, seq, mid, ofi, signed_size, tick_sign, queue_imbalance; one window pass."""
     w = B.rows_of("symbol")

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import CV_EMBARGO_EVENTS, CV_N_FOLDS
-from ..schema import FeatureSpec
+from ..schema import is_causal, is_label
 
 MODES = ("walkforward", "purged_kfold")
 
@@ -90,20 +91,20 @@ def embargo_breaches(test_lo, test_hi, embargo: int, row: str = "row"):
     return ((at >= test_lo - embargo) & (at < test_lo)) | ((at > test_hi) & (at <= test_hi + embargo))
 
 
-def future_features(specs: Iterable[FeatureSpec]) -> list[str]:
+def future_features(specs: Iterable[T.StructField]) -> list[str]:
     """Names of features, not labels, that look ahead."""
-    return [s.name for s in specs if not s.is_label and s.info_offset > 0]
+    return [s.name for s in specs if not is_label(s) and not is_causal(s)]
 
 
 def future_columns(df: DataFrame) -> list[str]:
     """The same from the metadata of a feature table."""
-    return [f.name for f in df.schema.fields if f.metadata and not f.metadata.get("is_label", True) and f.metadata.get("info_offset", 0) > 0]
+    return future_features(df.schema.fields)
 
 
 FINDINGS = "kind string, fold int, count long, detail string"
 
 
-def audit(spark: SparkSession, parts: DataFrame, label_horizon: int, embargo: int, specs: Sequence[FeatureSpec] = (), row: str = "row") -> DataFrame:
+def audit(spark: SparkSession, parts: DataFrame, label_horizon: int, embargo: int, specs: Sequence[T.StructField] = (), row: str = "row") -> DataFrame:
     """Findings over rows with fold and part, one row for each kind and fold that has any; empty means clean.
 
     Where the rows have a symbol, rows are numbered within it: blocks and findings are those of a symbol and fold.
@@ -123,7 +124,7 @@ def audit(spark: SparkSession, parts: DataFrame, label_horizon: int, embargo: in
     return rows.unionByName(extra, allowMissingColumns=True)
 
 
-def audit_fold(fold: Fold, label_horizon: int, embargo: int, specs: Sequence[FeatureSpec] = ()) -> list[tuple[str, int]]:
+def audit_fold(fold: Fold, label_horizon: int, embargo: int, specs: Sequence[T.StructField] = ()) -> list[tuple[str, int]]:
     """The same for a fold by its bounds alone: (kind, count) of each breach."""
     last = fold.test_hi - 1
     before = lambda lo: max(0, fold.train_end - max(0, lo))  # noqa: E731  training rows of the first part from lo on

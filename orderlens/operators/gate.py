@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.book import critical
 from ..registry import CI_LEVEL
+from ..series import by_session
 from ..simulate import SimConfig, stream
 from . import book as K
 
 BETAS, N_EVENTS, N_SEEDS, LAGS = (0.0, 3e-4, 6e-4), 20_000, 40, 5
 
 
+@by_session
 def reconstruct(events: DataFrame, book: DataFrame, levels: int) -> DataFrame:
     """A row for each symbol: transition invariant, seeded matches, and the match rate of the replay from events alone."""
     names = K.book_columns(levels)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import registry as R
 from ..functions.book import critical, normal_p
 from ..schema import EstimationResult, known, results_frame
+from ..series import BETWEEN, by_session
 from . import estimators as E
 from .buckets import binned, bucketed, with_changes
 from .fdr import BenjaminiHochbergController
@@ -24,6 +25,7 @@ from .resample import auc_ci, block_bootstrap_ci
 MIN_TRAIN, MIN_TEST, MIN_BIN = 10, 2, 5
 
 
+@by_session
 def pairs_contemporaneous(rows: DataFrame, bucket: int = 50) -> DataFrame:
     """symbol, bucket, x (imbalance of a bucket), y (mid change of the same bucket), row."""
     b = with_changes(bucketed(rows, bucket, ("ofi",), ("mid",)))
@@ -38,6 +40,7 @@ def r_squared(pairs) -> float:
     return float((x @ y) ** 2 / bottom) if bottom > 0 else float("nan")
 
 
+@by_session
 def ofi_contemporaneous(rows: DataFrame, bucket: int = 50, lags: int = 10, n_resamples: int = R.BOOTSTRAP_N_RESAMPLES) -> tuple[EstimationResult, EstimationResult]:
     """Slope of the mid change on the imbalance of the same bucket, and R2 with a block-bootstrap interval."""
     pairs = pairs_contemporaneous(rows, bucket).persist()
@@ -49,6 +52,7 @@ def ofi_contemporaneous(rows: DataFrame, bucket: int = 50, lags: int = 10, n_res
     return replace(slope, extra={**slope.extra, "n_obs": slope.n_obs, "r2": r2.point, "r2_ci": (r2.ci_low, r2.ci_high)}), r2
 
 
+@by_session
 def pairs_forward(rows: DataFrame, horizon: int) -> DataFrame:
     """symbol, row_in_symbol, x (imbalance of a bucket), y (mid change of the next), both known."""
     b = with_changes(bucketed(rows, horizon, ("ofi",), ("mid",)))
@@ -56,6 +60,7 @@ def pairs_forward(rows: DataFrame, horizon: int) -> DataFrame:
     return pairs.withColumn("in_symbol", F.row_number().over(Window.partitionBy("symbol").orderBy("bucket")) - 1)
 
 
+@by_session
 def out_of_sample(pairs: DataFrame, horizon: int) -> DataFrame | None:
     """The rows of the held-out blocks, fold by fold, numbered across symbols; None if no fold is usable."""
     spark = pairs.sparkSession
@@ -74,6 +79,7 @@ def out_of_sample(pairs: DataFrame, horizon: int) -> DataFrame | None:
     return E.global_rows(held.select("symbol", "fold", "bucket", "x", "y"), ("symbol", "fold"), "bucket")
 
 
+@by_session
 def ofi_forward(rows: DataFrame, horizons: Sequence[int] = R.HORIZON_GRID_EVENTS) -> list[EstimationResult]:
     """Out-of-sample slope of the next bucket's mid change on this one's imbalance, a test for each horizon."""
     out = []
@@ -89,6 +95,7 @@ def ofi_forward(rows: DataFrame, horizons: Sequence[int] = R.HORIZON_GRID_EVENTS
     return out
 
 
+@by_session
 def pairs_queue(rows: DataFrame, bucket: int = 20) -> DataFrame:
     """symbol, bucket, score (imbalance at a close), label (1: the next bucket's mid rises), row; no move, no row."""
     b = with_changes(bucketed(rows, bucket, (), ("mid", "queue_imbalance")))
@@ -97,6 +104,7 @@ def pairs_queue(rows: DataFrame, bucket: int = 20) -> DataFrame:
     return E.global_rows(pairs, ("symbol",), "bucket")
 
 
+@by_session
 def queue_imbalance(rows: DataFrame, bucket: int = 20, n_resamples: int = R.BOOTSTRAP_N_RESAMPLES) -> EstimationResult:
     """AUC of queue imbalance for the sign of the next move, with a stationary block bootstrap."""
     pairs = pairs_queue(rows, bucket).persist()
@@ -105,6 +113,7 @@ def queue_imbalance(rows: DataFrame, bucket: int = 20, n_resamples: int = R.BOOT
     return replace(out, extra={**out.extra, "n_obs": out.n_obs})
 
 
+@by_session
 def sign_series(rows: DataFrame, least: int = max(R.HORIZON_GRID_EVENTS) + 10) -> DataFrame:
     """symbol, row, sign of the trades of known sign, of symbols with more than ``least`` of them."""
     signs = rows.filter(F.col("tick_sign").isNotNull()).select("symbol", "seq", F.col("tick_sign").alias("sign"))
@@ -122,6 +131,7 @@ def weighted_acf(per_symbol: DataFrame) -> DataFrame:
     )
 
 
+@by_session
 def sign_autocorrelation(rows: DataFrame, lags: Sequence[int] = R.HORIZON_GRID_EVENTS) -> list[EstimationResult]:
     """Autocorrelation of trade signs at each lag, within symbols, combined by trade counts."""
     per_symbol = E.bartlett(E.acf(sign_series(rows, max(lags) + 10), "sign", max(lags))).filter(F.col("lag").isin(*lags))
@@ -134,6 +144,7 @@ def sign_autocorrelation(rows: DataFrame, lags: Sequence[int] = R.HORIZON_GRID_E
     return out
 
 
+@by_session
 def pairs_impact(rows: DataFrame, bucket: int = 20) -> DataFrame:
     """symbol, bucket, volume (absolute signed volume, not 0), move (absolute mid change, zeros stay)."""
     b = with_changes(bucketed(rows, bucket, ("signed_size",), ("mid",)))
@@ -147,6 +158,7 @@ def impact_points(rows: DataFrame, bucket: int = 20, n_bins: int = 20) -> DataFr
     return bins.select((F.row_number().over(Window.orderBy("bin")) - 1).alias("row"), F.ln("x_mean").alias("x"), F.ln("y_mean").alias("y"))
 
 
+@by_session
 def impact_curve(rows: DataFrame, bucket: int = 20, n_bins: int = 20) -> EstimationResult:
     """Exponent of mean absolute mid change in absolute signed volume."""
     points = impact_points(rows, bucket, n_bins).persist()
@@ -157,18 +169,21 @@ def impact_curve(rows: DataFrame, bucket: int = 20, n_bins: int = 20) -> Estimat
     return replace(out, extra={**out.extra, "n_obs": n, "n_bins": bins})
 
 
+@by_session
 def linearity(rows: DataFrame, bucket: int = 50, n_bins: int = 20) -> DataFrame:
     """ofi_mean, ret_mean, ret_se, n of equal-count bins of imbalance."""
     bins = binned(pairs_contemporaneous(rows, bucket), "x", "y", n_bins)
     return bins.select(F.col("x_mean").alias("ofi_mean"), F.col("y_mean").alias("ret_mean"), F.col("y_se").alias("ret_se"), "n")
 
 
+@by_session
 def linear_fit(rows: DataFrame, bucket: int = 50) -> DataFrame:
     """slope, intercept, r2, n, bucket of the contemporaneous fit."""
     pairs = pairs_contemporaneous(rows, bucket)
     return pairs.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.count(F.lit(1)).alias("n"), F.lit(bucket).alias("bucket"))
 
 
+@by_session
 def run_family(rows: DataFrame, n_resamples: int = R.BOOTSTRAP_N_RESAMPLES, horizons: Sequence[int] = R.HORIZON_GRID_EVENTS) -> list[EstimationResult]:
     """All registered tests, controlled as one family."""
     rows = rows.persist()
@@ -185,6 +200,7 @@ def family_table(results: Sequence[EstimationResult], spark: SparkSession) -> Da
     return made.select("name", "metric", "point", "ci_low", "ci_high", F.col("p_value_raw").alias("p_raw"), F.col("p_value_adj").alias("p_adj"), "rejected", F.coalesce(F.try_element_at("extra", F.lit("n_obs")).cast("long"), "n_obs").alias("n_obs"), horizon.alias("horizon"))
 
 
+@by_session
 def robustness(rows: DataFrame, symbols: Sequence[str] | None = None, n_resamples: int = R.BOOTSTRAP_N_RESAMPLES) -> list[tuple]:
     """(ticker, ofi_R2, ofi_R2_lo, ofi_R2_hi, ofi_slope, qi_auc, qi_auc_lo, qi_auc_hi) of each symbol alone; of every symbol by default."""
     rows, out = rows.persist(), []
@@ -192,7 +208,7 @@ def robustness(rows: DataFrame, symbols: Sequence[str] | None = None, n_resample
         own = rows.filter(F.col("symbol") == s)
         slope, r2 = ofi_contemporaneous(own, n_resamples=n_resamples)
         q = queue_imbalance(own, n_resamples=n_resamples)
-        out.append((s, r2.point, r2.ci_low, r2.ci_high, slope.point, q.point, q.ci_low, q.ci_high))
+        out.append((s.replace(BETWEEN, " "), r2.point, r2.ci_low, r2.ci_high, slope.point, q.point, q.ci_low, q.ci_high))
     rows.unpersist()
     return out
 

@@ -18,7 +18,7 @@ from ..operators.features import PointInTimeFeatureEngine, primitives, tick_accu
 from ..schema import NO_ASK, NO_BID, book_columns, event_faults, results_frame
 from ..simulate import simulate
 from ..streaming.replay import run_stream, streaming_replay
-from .flow import FLOW_SQL, KEYED_SQL, TOUCH_SQL, order_flow, touch_book
+from .flow import FLOW_SQL, KEYED_SQL, SESSION_KEY, TOUCH_SQL, order_flow, touch_book
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,7 @@ def event_scan(spark, sf_dir):
 
 
 @query(FLOW + """, f as (select *, coalesce(time_s < lag(time_s) over (partition by symbol order by seq), false) as falls from flow)
-select count(*) filter (direction not in (-1, 1)) as bad_direction, count(*) filter (size < 0) as bad_size, count(*) filter (falls) as bad_time, count(*) as n_rows from f""")
+select count(*) filter (time_s is null or event_type is null or order_id is null or size is null or price is null or direction is null) as bad_null, count(*) filter (direction not in (-1, 1)) as bad_direction, count(*) filter (size < 0) as bad_size, count(*) filter (falls) as bad_time, count(*) as n_rows from f""")
 def event_validation(spark, sf_dir):
     return event_faults(order_flow(spark, sf_dir))
 
@@ -348,8 +348,8 @@ def fold_assignment(spark, sf_dir):
 
 
 def leak_sql(condition: str) -> str:
-    return PARTS_SQL + f""", blocks as (select fold, min(row) as lo, max(row) as hi from parts where part = 'test' and symbol = 'S0' group by 1)
-select p.fold, count(*) as n from parts p join blocks b on p.fold = b.fold where part = 'train' and symbol = 'S0' and ({condition}) group by 1"""
+    return PARTS_SQL + f""", blocks as (select symbol, fold, min(row) as lo, max(row) as hi from parts where part = 'test' group by 1, 2)
+select p.symbol, p.fold, count(*) as n from parts p join blocks b on p.symbol = b.symbol and p.fold = b.fold where part = 'train' and ({condition}) group by 1, 2"""
 
 
 def _leaks(spark, sf_dir, label_horizon, embargo, kind):
@@ -359,28 +359,11 @@ def _leaks(spark, sf_dir, label_horizon, embargo, kind):
 
 @query(leak_sql("row + 40 >= lo and row <= hi"))
 def label_overlap(spark, sf_dir):
-    """The findings of S0 alone, as its SQL has them; ``label_overlap_symbols`` has all."""
-    return _leaks(spark, sf_dir, 40, 0, "label_overlap").filter("symbol = 'S0'").select("fold", "n")
+    return _leaks(spark, sf_dir, 40, 0, "label_overlap")
 
 
 @query(leak_sql("(row >= lo - 30 and row < lo) or (row > hi and row <= hi + 30)"))
 def embargo_breach(spark, sf_dir):
-    """The findings of S0 alone, as its SQL has them; ``embargo_breach_symbols`` has all."""
-    return _leaks(spark, sf_dir, 0, 30, "embargo_breach").filter("symbol = 'S0'").select("fold", "n")
-
-
-def leaks_sql(condition: str) -> str:
-    return PARTS_SQL + f""", blocks as (select symbol, fold, min(row) as lo, max(row) as hi from parts where part = 'test' group by 1, 2)
-select p.symbol, p.fold, count(*) as n from parts p join blocks b on p.symbol = b.symbol and p.fold = b.fold where part = 'train' and ({condition}) group by 1, 2"""
-
-
-@query(leaks_sql("row + 40 >= lo and row <= hi"))
-def label_overlap_symbols(spark, sf_dir):
-    return _leaks(spark, sf_dir, 40, 0, "label_overlap")
-
-
-@query(leaks_sql("(row >= lo - 30 and row < lo) or (row > hi and row <= hi + 30)"))
-def embargo_breach_symbols(spark, sf_dir):
     return _leaks(spark, sf_dir, 0, 30, "embargo_breach")
 
 
@@ -477,6 +460,71 @@ def transition_invariant(spark, sf_dir):
     return K.transition_invariant(events, K.replay(events, LEVELS), LEVELS)
 
 
+# --- sessions: numbering, windows and joins within a symbol's session
+
+def by_session_sql(sql: str, columns: str) -> str:
+    """The SQL with sessions in the key, which its last select parts again."""
+    return f"select split_part(symbol, '|', 1) as symbol, split_part(symbol, '|', 2) as session, {columns} from ({sql.replace(*SESSION_KEY)})"
+
+
+@query(by_session_sql(PRIMS_SQL + f""", {TICK_SQL} select o.symbol, o.seq, o.mid, o.ofi, s.signed_size, t.tick_sign, round(o.queue_imbalance, 9) as queue_imbalance
+from ofis o join signed s on o.symbol = s.symbol and o.seq = s.seq left join ticks t on o.symbol = t.symbol and o.seq = t.seq""", "seq, mid, ofi, signed_size, tick_sign, queue_imbalance"))
+def session_primitives(spark, sf_dir):
+    return rounded(primitives(order_flow(spark, sf_dir, True), touch_book(spark, sf_dir, True)))
+
+
+@query(by_session_sql(REPLAY_SQL + f", {snapshot_sql(LEVELS)} select * from snap", "seq, " + ", ".join(book_columns(LEVELS))))
+def session_book_replay(spark, sf_dir):
+    return K.replay(order_flow(spark, sf_dir, True), LEVELS)
+
+
+@query(by_session_sql(PRIMS_SQL + f", {buckets_sql(BUCKET)} select symbol, bucket, ofi, round(change, 12) as change from buckets", "bucket, ofi, change"))
+def session_buckets(spark, sf_dir):
+    b = with_changes(bucketed(primitives(order_flow(spark, sf_dir, True), touch_book(spark, sf_dir, True)), BUCKET, ("ofi",), ("mid",)))
+    return rounded(b.select("symbol", "session", "bucket", "ofi", "change"), 12)
+
+
+# --- the gate against a shown book: the touch book, which no replay made
+
+def gate_sql() -> str:
+    one = book_columns(1)
+    size = "case when direction > 0 then case when {0}bid_px_1 = price then {0}bid_sz_1 end else case when {0}ask_px_1 = price then {0}ask_sz_1 end end"
+    same = " and ".join(f"a.{c} = t.{c}" for c in one)
+    alone = snapshot_sql(1, "alone").replace("join v on", "join v0 v on").replace("live as", "live0 as").replace("join live l", "join live0 l")
+    return BOTH + REPLAY_SQL[len(FLOW) :].replace("v as (", "v0 as (") + f""", {alone},
+seed as (select symbol, seq, -1 as side, ask_px_1 as price, ask_sz_1 as size from touch where seq = 0 and ask_sz_1 > 0 and ask_px_1 <> {NO_ASK}
+  union all select symbol, seq, 1, bid_px_1, bid_sz_1 from touch where seq = 0 and bid_sz_1 > 0 and bid_px_1 <> {NO_BID}),
+ld as (select symbol, seq, side, price, size as delta from seed union all select symbol, seq, cast(direction as int), price, case when event_type = 1 then size else -size end from flow where event_type between 1 and 4 and seq > 0),
+run as (select symbol, side, price, seq, sum(delta) over (partition by symbol, side, price order by seq rows unbounded preceding) as c from ld),
+v as (select symbol, side, price, seq as since, lead(seq) over w as until, c - least(0, min(c) over (partition by symbol, side, price order by seq rows unbounded preceding)) as size from run window w as (partition by symbol, side, price order by seq)),
+{snapshot_sql(1)},
+w as (select f.event_type, f.size, f.price, f.direction, t.*, {", ".join(f"lag({c}) over (partition by t.symbol order by t.seq) as was_{c}" for c in one)} from flow f join touch t on f.symbol = t.symbol and f.seq = t.seq),
+x as (select symbol, ({size.format("")}) - ({size.format("was_")}) as change, case when event_type = 1 then size else -size end as due from w where event_type between 1 and 4),
+i as (select symbol, count(change) as checked, count(*) filter (change <> due) as violations from x group by 1),
+j as (select t.symbol, t.seq, t.seq = 0 or ({same}) as hit from touch t join snap a on a.symbol = t.symbol and a.seq = t.seq),
+k as (select symbol, count(*) as n_rows, round(avg(cast(hit as int)), 9) as touch_match, round(avg(cast(hit as int)), 9) as depth_match, coalesce(min(seq) filter (not hit), count(*)) as exact_prefix from j group by 1),
+m as (select t.symbol, round(avg(cast({same} as int)), 9) as message_only_row_match, round(avg(({" + ".join(f"cast(a.{c} = t.{c} as int)" for c in one)}) / 4.0::double), 9) as message_only_cell_match
+  from touch t join alone a on a.symbol = t.symbol and a.seq = t.seq group by 1)
+select k.symbol, coalesce(checked, 0) as checked, coalesce(violations, 0) as violations, n_rows, touch_match, depth_match, exact_prefix, message_only_row_match, message_only_cell_match
+from k join m on k.symbol = m.symbol left join i on k.symbol = i.symbol"""
+
+
+@query(gate_sql())
+def reconstruction_gate(spark, sf_dir):
+    return rounded(gate.reconstruct(order_flow(spark, sf_dir), touch_book(spark, sf_dir), 1))
+
+
+@query(PRIMS_SQL + f""", {buckets_sql(BUCKET)}, p as (select abs(signed_size) as v, abs(change) as m from buckets where change is not null and signed_size <> 0),
+e as (select list_sort(list_distinct(quantile_cont(v, [{", ".join(f"{i / 10}" for i in range(11))}]))) as edges from p),
+b as (select v, m, least(len(list_filter(edges[2:-2], lambda x: x <= v)), len(edges) - 2) as bin from p, e),
+pts as (select row_number() over (order by bin) - 1 as row, ln(avg(v)) as x, ln(avg(m)) as y from b group by bin having count(*) >= {studies.MIN_BIN} and avg(v) > 0 and avg(m) > 0), {hac_sql("pts", 2)}
+select 'impact_curve' as name, round(slope, 9) as exponent, round(se, 9) as se, round(r2, 9) as r2, n as n_bins, (select count(*) from p) as n_obs from fit""")
+def impact_exponent(spark, sf_dir):
+    r = studies.impact_curve(prims(spark, sf_dir), BUCKET, 10)
+    rows = [(r.name, r.point, r.std_error, r.extra["r2"], int(r.extra["n_bins"]), int(r.extra["n_obs"]))]
+    return rounded(spark.createDataFrame(rows, "name string, exponent double, se double, r2 double, n_bins long, n_obs long"))
+
+
 # --- what SQL can't express
 
 @query()
@@ -502,11 +550,6 @@ def quality_logit(spark, sf_dir):
     return results_frame(spark, [E.logit_coef(rows, "quality", "kchars", name="quality_logit")])
 
 
-@query()
-def impact_exponent(spark, sf_dir):
-    return results_frame(spark, [studies.impact_curve(prims(spark, sf_dir), BUCKET, 10)])
-
-
 @query()
 def robustness(spark, sf_dir):
     rows = studies.robustness(prims(spark, sf_dir))
@@ -521,11 +564,3 @@ def simulated_flow(spark, sf_dir):
 @query()
 def recovery(spark, sf_dir):
     return gate.recovery_curve(gate.recover(spark))
-
-
-@query()
-def reconstruction_gate(spark, sf_dir):
-    events = order_flow(spark, sf_dir)
-    return gate.reconstruct(events, K.replay(events, LEVELS), LEVELS)
-
-

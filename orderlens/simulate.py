@@ -1,14 +1,16 @@
-"""Seeded order flow with known ground truth; a stream is sequential, streams are independent tasks.
+"""Seeded order flow with known ground truth.
 
-Each event draws, in this order: a normal (pressure), an exponential (waiting time), a uniform (side), a
-uniform (action), a geometric (size), a normal (price noise); the generator is seeded by MASTER_SEED + seed_offset + seed.
-So a stream is the same wherever it is made.
+All random numbers of a stream are drawn as arrays, from a generator seeded by the master seed, the offset and the
+stream's seed. A pressure that reverts to 0 tilts the side of each event; the action is drawn by its shares. What is
+sequential is the two resting queues alone: they bound what an event can take and are renewed when empty. Prices
+follow from the flow that the queues let through. A stream is a task, and the same wherever it is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import accumulate, count
 
 import numpy as np
 import pandas as pd
@@ -37,48 +39,41 @@ class SimConfig:
     seed_offset: int = 0
 
 
-@dataclass(slots=True)
-class Queue:
-    """The aggregate resting order at one best quote."""
-
-    order_id: int
-    size: int
+def through_queues(kind: np.ndarray, rest: np.ndarray, wanted: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each event and the resting order it works on: a queue gives no more than it has, a cancel leaves 1."""
+    size, order = wanted.copy(), np.empty(len(kind), np.int64)
+    left, name, names = {1: base, -1: base}, {1: 1, -1: 2}, count(3)
+    for i, (k, side) in enumerate(zip(kind.tolist(), rest.tolist(), strict=True)):
+        order[i] = name[side]
+        if k == EventType.SUBMIT:
+            left[side] += int(size[i])
+            continue
+        size[i] = min(int(size[i]), left[side] - (k == EventType.CANCEL_PARTIAL))
+        left[side] -= int(size[i])
+        if not left[side]:
+            left[side], name[side] = base, next(names)
+    return size, order
 
 
 def stream(config: SimConfig, n_events: int, seed: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """Event columns and truth columns (driver, mid, fwd_ret_1) of one stream."""
     if n_events < 2:
         raise ValueError(f"n_events must be at least 2, not {n_events}")
-    rng = np.random.default_rng(MASTER_SEED + config.seed_offset + int(seed))
+    rng = np.random.default_rng([MASTER_SEED + config.seed_offset, int(seed)])
+    kicks, noise = config.ar_sigma * rng.standard_normal(n_events), config.sigma * rng.standard_normal(n_events)
+    pressure = np.fromiter(accumulate(kicks, lambda p, kick: config.ar_phi * p + kick), float, n_events)
+    side = np.where(rng.random(n_events) < 1.0 / (1.0 + np.exp(-pressure)), 1, -1)
+    kind = rng.choice([EventType.EXECUTE_VISIBLE, EventType.CANCEL_PARTIAL, EventType.SUBMIT], n_events, p=[config.exec_prob, config.cancel_prob, 1 - config.exec_prob - config.cancel_prob])
+    rest = np.where(kind == EventType.EXECUTE_VISIBLE, -side, side)  # an execution takes from the other side
     scale = float(max(config.mean_order, 1))
-    queues = {1: Queue(1, config.base_queue), -1: Queue(2, config.base_queue)}  # by resting side
-    fresh, pressure, log_price, clock = 3, 0.0, float(np.log(config.p0)), OPEN_S
-    rows = np.empty((n_events, 5), np.int64)
-    times, driver, logs = (np.empty(n_events) for _ in range(3))
-    for n in range(n_events):
-        pressure = config.ar_phi * pressure + config.ar_sigma * rng.standard_normal()
-        clock += rng.exponential(MEAN_WAIT_S)
-        side = 1 if rng.random() < 1.0 / (1.0 + np.exp(-pressure)) else -1
-        action = rng.random()
-        order = 1 + int(rng.geometric(1.0 / scale))
-        bid = int(round((np.exp(log_price) - config.tick / 2.0) / config.tick) * config.tick)
-        # an execution hits the other side's queue; cancels and submits work on the pressed side's own
-        rest = -side if action < config.exec_prob else side
-        queue, adds = queues[rest], action >= config.exec_prob + config.cancel_prob
-        code = EventType.SUBMIT if adds else EventType.EXECUTE_VISIBLE if action < config.exec_prob else EventType.CANCEL_PARTIAL
-        size = order if adds else min(order, queue.size if code == EventType.EXECUTE_VISIBLE else max(queue.size - 1, 0))
-        rows[n] = code, queue.order_id, size, bid if rest == 1 else bid + config.tick, rest
-        queue.size += size if adds else -size
-        if queue.size <= 0:
-            queues[rest] = Queue(fresh, config.base_queue)
-            fresh += 1
-        times[n], logs[n] = clock, log_price
-        driver[n] = side * (1.0 if adds else -1.0) * size / scale
-        log_price += config.beta * driver[n] + config.sigma * rng.standard_normal()
-    mid = np.exp(logs)
-    ahead = np.append(np.diff(np.log(mid)), np.nan)
-    events = {"time_s": times, **dict(zip(EVENT_COLUMNS[1:], rows.T, strict=True))}
-    return events, {"driver": driver, "mid": mid, "fwd_ret_1": ahead}
+    size, order = through_queues(kind, rest, 1 + rng.geometric(1.0 / scale, n_events), config.base_queue)
+    driver = side * np.where(kind == EventType.SUBMIT, 1.0, -1.0) * size / scale
+    moves = config.beta * driver + noise
+    mid = config.p0 * np.exp(np.cumsum(moves) - moves)
+    bid = config.tick * np.round(mid / config.tick - 0.5).astype(np.int64)
+    columns = (kind, order, size, np.where(rest == 1, bid, bid + config.tick), rest)
+    events = {"time_s": OPEN_S + np.cumsum(rng.exponential(MEAN_WAIT_S, n_events)), **dict(zip(EVENT_COLUMNS[1:], columns, strict=True))}
+    return events, {"driver": driver, "mid": mid, "fwd_ret_1": np.append(np.diff(np.log(mid)), np.nan)}
 
 
 OUTPUT = "beta double, seed long, seq long, time_s double, event_type byte, order_id long, size long, price long, direction byte, driver double, mid double, fwd_ret_1 double"

@@ -7,7 +7,7 @@ small table of counts gives each split its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,32 +38,48 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return named.withColumn("symbol", F.when(F.col("symbol") == "", F.col("file")).otherwise(F.col("symbol"))).drop("file")
 
 
+def _cells(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """The first cells of each line as text, which a strict cast reads; lines may have more."""
+    return spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in schema.fieldNames()])).option("header", False).csv(path)
+
+
+def _strict(field: T.StructField, empty: bool = True) -> Column:
+    """A cell as a value; one that isn't of the column's type fails, and so does an empty one unless it is let through."""
+    cell = F.col(field.name)
+    value = cell.try_cast(field.dataType)
+    bad = F.raise_error(F.concat(F.lit(f"{field.name}: not a {field.dataType.simpleString()}: "), F.coalesce(cell, F.lit("empty")))).cast(field.dataType)
+    return F.when((cell.isNull() & F.lit(empty)) | value.isNotNull(), value).otherwise(bad).alias(field.name)
+
+
 def read_messages(spark: SparkSession, path: str | list[str], validate: bool = True) -> DataFrame:
-    """Events of message files (a path, glob or list): the first six columns; further ones are ignored."""
-    rows = spark.read.schema(S.MESSAGE_SCHEMA).option("header", False).csv(path)
-    events = _keyed(numbered(rows)).select("symbol", "session", "seq", *S.EVENT_COLUMNS)
+    """Events of message files (a path, glob or list): the first six columns; further ones are ignored.
+
+    A cell that isn't of its column's type fails the read; an empty one is a fault that ``validate`` raises.
+    """
+    events = _keyed(numbered(_cells(spark, path, S.MESSAGE_SCHEMA))).select("symbol", "session", "seq", *map(_strict, S.MESSAGE_SCHEMA))
     return S.validate_events(events) if validate else events
 
 
 def read_orderbook(spark: SparkSession, path: str | list[str], levels: int) -> DataFrame:
-    """Book rows of order-book files, the first ``levels`` levels; only those columns are parsed."""
-    rows = spark.read.schema(S.book_schema(levels)).option("header", False).csv(path)
-    return _keyed(numbered(rows)).select("symbol", "session", "seq", *S.book_columns(levels))
+    """Book rows of order-book files, the first ``levels`` levels; only those columns are parsed, strictly."""
+    schema = S.book_schema(levels)
+    return _keyed(numbered(_cells(spark, path, schema))).select("symbol", "session", "seq", *[_strict(f, empty=False) for f in schema])
 
 
 def aligned(events: DataFrame, book: DataFrame) -> DataFrame:
     """Events with their book rows; a ValueError if the two don't have the same rows."""
-    counts = lambda df: df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    off = counts(events).join(counts(book).withColumnRenamed("n", "m"), "symbol", "full").filter(~F.col("n").eqNullSafe(F.col("m"))).collect()
+    keys = [k for k in ("symbol", "session", "seq") if k in events.columns and k in book.columns]
+    counts = lambda df: df.groupBy(*keys[:-1]).agg(F.count(F.lit(1)).alias("n"))
+    off = counts(events).join(counts(book).withColumnRenamed("n", "m"), keys[:-1], "full").filter(~F.col("n").eqNullSafe(F.col("m"))).collect()
     if off:
         raise ValueError(f"messages and book rows differ: {[tuple(r) for r in off]}")
-    keys = [k for k in ("symbol", "session", "seq") if k in events.columns and k in book.columns]
     return events.join(book, keys)
 
 
 def to_lake(df: DataFrame, path: str) -> None:
-    """Parquet partitioned by symbol, each file in ``seq`` order: what later reads prune and window by."""
-    df.repartitionByRange("symbol", "seq").sortWithinPartitions("symbol", "seq").write.partitionBy("symbol").parquet(path)
+    """Parquet partitioned by symbol (and session), each file in ``seq`` order: what later reads prune and window by."""
+    keys = [k for k in ("symbol", "session") if k in df.columns]
+    df.repartitionByRange(*keys, "seq").sortWithinPartitions(*keys, "seq").write.partitionBy(*keys).parquet(path)
 
 
 FAMILY_CSV = T.StructType([

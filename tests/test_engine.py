@@ -29,7 +29,7 @@ def book(spark, rows, symbol="S"):
 
 def events(spark, rows, symbol="S"):
     """Rows of (code, id, size, price, side)."""
-    return S.events_frame(spark, [S.Event(float(i), c, o, s, p, d) for i, (c, o, s, p, d) in enumerate(rows)], symbol)
+    return S.events_frame(spark, [(float(i), *r) for i, r in enumerate(rows)], symbol)
 
 
 def column(df, c, order="seq"):
@@ -50,24 +50,21 @@ def series(spark, **columns):
 
 # --- rows and checks
 
-def test_row_objects():
-    with pytest.raises(ValueError):
-        S.Event(0.0, 1, 1, 1, 1, 0)
-    with pytest.raises(ValueError):
-        S.Event(0.0, 1, 1, -1, 1, 1)
-    state = S.BookState((110, NA), (5, 0), (100, 99), (3, 4))
-    assert (state.levels, state.best_ask, state.best_bid, state.mid_price) == (2, 110, 100, 105.0)
-    assert state.to_row() == (110, 5, 100, 3, NA, 0, 99, 4)
-    assert S.BookState((NA,), (0,), (1,), (1,)).mid_price is None
+def test_rows(spark):
+    for size, side in ((1, 0), (-1, 1)):
+        with pytest.raises(ValueError, match="row 0"):
+            events(spark, [(1, 1, size, 1, side)])
+    states = S.book_frame(spark, [(110, 5, 100, 3, NA, 0, 99, 4), (NA, 0, 1, 1, NA, 0, NB, 0)])
+    assert states.columns == ["symbol", "seq", *S.book_columns(2)] and column(states.withColumn("mid", B.mid()), "mid") == [105.0, None]
     assert S.book_columns(1) == ["ask_px_1", "ask_sz_1", "bid_px_1", "bid_sz_1"] and len(S.book_columns(10)) == 40
     with pytest.raises(ValueError):
         S.book_columns(0)
 
 
-@pytest.mark.parametrize("bad", [dict(is_label=True), dict(horizon=3), dict(horizon_unit="days")])
+@pytest.mark.parametrize("bad", [dict(horizon=-1), dict(horizon=3, unit="days")])
 def test_spec_rules(bad):
     with pytest.raises(ValueError):
-        S.FeatureSpec("x", "", **bad)
+        S.column_spec("x", "", **bad)
 
 
 def test_result_rules(spark):
@@ -166,7 +163,7 @@ def test_truncation_changes_no_feature(spark):
     b = K.replay(msg, 1)
     engine = features.PointInTimeFeatureEngine((1, 5), rv_window=5)
     whole, cut = engine.compute(msg, b), engine.compute(msg.filter("seq < 40"), b.filter("seq < 40"))
-    names = [s.name for s in engine.specs() if not s.is_label]
+    names = [s.name for s in engine.specs() if not S.is_label(s)]
     for c in names:
         near(column(whole.filter("seq < 40"), c), column(cut, c))
     assert column(cut, "fwd_ret_5")[-5:] == [None] * 5 and len(e["size"]) == 60
@@ -360,14 +357,14 @@ def test_leaks_of_each_symbol(spark):
 
 
 def test_audit_queries_cover_every_symbol(spark):
-    for name in ("label_overlap_symbols", "embargo_breach_symbols"):
+    for name in ("label_overlap", "embargo_breach"):
         found = queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
         assert {r["symbol"] for r in found} == {f"S{i}" for i in range(5)}
 
 
 def test_future_features(spark):
-    specs = [S.FeatureSpec("a", "", info_offset=3), S.FeatureSpec("b", "", is_label=True, horizon=10, info_offset=10), S.FeatureSpec("c", "")]
-    assert folds.future_features(specs) == ["a"] and not specs[0].causal and specs[2].causal
+    specs = [S.column_spec("a", "", looks_ahead=3), S.column_spec("b", "", horizon=10, looks_ahead=10), S.column_spec("c", "")]
+    assert folds.future_features(specs) == ["a"] and not S.is_causal(specs[0]) and S.is_causal(specs[2])
 
 
 def test_members_are_apart(spark):
@@ -532,7 +529,7 @@ def synthetic(spark, n=6000, symbols=("A", "B")):
 
 def test_study_family(spark):
     results = studies.run_family(synthetic(spark).cache(), n_resamples=50)
-    assert len(results) == R.family_size() == 17 and all(r.family_id and r.rejected is not None for r in results)
+    assert len(results) == len(R.FAMILY) == 17 and all(r.family_id and r.rejected is not None for r in results)
     by = {r.name: r for r in results}
     assert by["ofi_contemporaneous"].point > 0 and by["ofi_contemporaneous"].rejected
     assert by["ofi_forward_h1"].extra["oos"] and by["ofi_forward_h1"].point > 0
@@ -571,7 +568,7 @@ def test_robustness_covers_every_symbol(spark, monkeypatch):
 def test_family_query_is_the_registered_family(spark):
     rows = {r["name"]: r for r in queries.QUERIES["family"](spark, "/root/testdata/sf0.1").collect()}
     want = {f"{kind}{h}" for kind in ("ofi_forward_h", "sign_autocorr_lag") for h in R.HORIZON_GRID_EVENTS}
-    assert want < set(rows) and len(rows) == R.family_size()
+    assert want < set(rows) and len(rows) == len(R.FAMILY)
     ps = [r["p_raw"] for r in rows.values()]
     assert all(abs(r["p_adj"] - adj) < 1e-12 for r, adj in zip(rows.values(), bh_reference(ps, R.FDR_ALPHA)[1], strict=True))
 
@@ -585,3 +582,60 @@ def test_recovery_query_has_all_seeds(spark, monkeypatch):
     monkeypatch.setattr(queries.gate, "recover", lambda spark, *a, f=gate.recover, **k: seen.append((a, k)) or f(spark, *a, **k | {"n_events": 500}))
     curve = queries.QUERIES["recovery"](spark, "").collect()
     assert seen == [((), {})] and {r["beta"]: r["n_seeds"] for r in curve} == dict.fromkeys(gate.BETAS, gate.N_SEEDS)
+
+
+# --- sessions, strict files, extension points
+
+def test_two_sessions_are_two_series(spark, tmp_path):
+    days = ["2012-06-21", "2012-06-22"]
+    for k, day in enumerate(days):
+        name = lambda kind: str(tmp_path / f"AAPL_{day}_34200000_57600000_{kind}_1.csv")  # noqa: B023, E731
+        with open(name("message"), "w") as f:
+            f.writelines(f"{34200 + i},{1 if i < 2 else 4},{1 + i % 2},{5 if i < 2 else 2},{110 - 10 * (i % 2) + k},{1 if i % 2 else -1}\n" for i in range(4))
+        with open(name("orderbook"), "w") as f:
+            f.writelines(f"{110 + k},{5 + i},{100 + k},{3 + i}\n" for i in range(4))
+    msg, ob = files.read_messages(spark, str(tmp_path / "*_message_1.csv")), files.read_orderbook(spark, str(tmp_path / "*_orderbook_1.csv"), 1)
+    assert files.aligned(msg, ob).count() == 8
+    engine = features.PointInTimeFeatureEngine((1,), rv_window=2)
+    operators = {
+        "primitives": lambda e, b: features.primitives(e, b), "features": engine.compute, "signs": lambda e, b: features.tick_signs(e),
+        "replay": lambda e, b: K.replay(e, 1), "seeded": lambda e, b: K.seeded_replay(e, b, 1), "match": lambda e, b: K.seeded_match(e, b, 1),
+        "invariant": lambda e, b: K.transition_invariant(e, b, 1), "buckets": lambda e, b: buckets.bucketed(features.primitives(e, b), 2, ("ofi",), ("mid",)),
+        "gate": lambda e, b: gate.reconstruct(e, b, 1), "stream": lambda e, b: run_stream(e, lambda x: streaming_replay(x, 1)),
+    }
+    for name, f in operators.items():
+        got = f(msg, ob)
+        assert got.columns[:2] == ["symbol", "session"] or "session" in got.columns, name
+        for day in days:
+            alone = f(msg.filter(F.col("session") == day).drop("session"), ob.filter(F.col("session") == day).drop("session"))
+            own = got.filter(F.col("session") == day).drop("session").select(*alone.columns)
+            assert own.count() == alone.count() > 0 and own.exceptAll(alone).count() == 0, name
+    assert K.differential(K.replay(msg, 1), K.replay(msg, 1), 1).first()["n_rows"] == 8
+    assert S.event_faults(msg.withColumn("time_s", F.when(F.col("session") == days[1], F.col("time_s") - 9999).otherwise(F.col("time_s")))).first()["bad_time"] == 0
+    with pytest.raises(ValueError, match="session"):
+        features.primitives(msg, ob.drop("session"))
+
+
+@pytest.mark.parametrize("line", ["34201,x,2,3,100,1", "34201,1,2,abc,100,1", "34201,1,2,,100,1", "34201,1,2,3"])
+def test_malformed_messages_raise(spark, tmp_path, line):
+    path = tmp_path / "A_2012-06-21_1_2_message_1.csv"
+    path.write_text(f"34200,1,1,5,100,1\n{line}\n")
+    with pytest.raises(Exception, match="not a|unknown value"):
+        files.read_messages(spark, str(path)).collect()
+
+
+@pytest.mark.parametrize("line", ["110,5,x,3", "110,,100,3", "110,5"])
+def test_malformed_books_raise(spark, tmp_path, line):
+    path = tmp_path / "A_2012-06-21_1_2_orderbook_1.csv"
+    path.write_text(f"110,5,100,3\n{line}\n")
+    with pytest.raises(Exception, match="not a"):
+        files.read_orderbook(spark, str(path), 1).collect()
+
+
+def test_parts_have_the_protocols(spark):
+    from orderlens import protocols as P
+
+    assert isinstance(features.PointInTimeFeatureEngine((1,)), P.Features) and isinstance(OrderFlowSimulator(spark), P.Simulator)
+    assert isinstance(estimators.OLSHACEstimator(2), P.Estimator) and isinstance(estimators.LogitEstimator(), P.Estimator)
+    assert isinstance(folds.PurgedWalkForwardSplitter(), P.Splitter) and isinstance(fdr.BenjaminiHochbergController(spark), P.Controller)
+    assert isinstance(K.replay, P.Replayer) and not isinstance(object(), P.Features)
