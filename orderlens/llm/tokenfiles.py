@@ -32,7 +32,7 @@ from . import coder, common
 from .tokens import encoder, texts_of, vocabulary
 
 #: Ids of a block; the id that ends a document in op6.
-BLOCK, END = 1 << 16, 2
+BLOCK, END = 1 << 17, 2
 MAGIC = b"TIDB"
 MANIFEST = "part int, file string, n_docs long, n_ids long, n_blocks long"
 
@@ -55,20 +55,19 @@ def _blocks(path: str, end: int, width: int, bits: int, size: int):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for a, b, found in encode.batches(batch.column("text")):
-                for doc, ids in zip(docs[a:b], found, strict=True):
-                    left, flags = np.append(ids, np.uint32(end)).astype(f"<u{width}").tobytes(), 2 if doc is None else 0
-                    while True:
-                        room = (size - have) * width
-                        part, left = left[:room], left[room:]
-                        table.append((doc or 0, len(part) // width, flags))
-                        raw.append(part)
-                        have += len(part) // width
-                        if have == size:
-                            yield block()
-                        if not left:
-                            break
-                        flags |= 1
+            for doc, ids in zip(docs, encode(batch.column("text")), strict=True):
+                left, flags = np.append(ids, np.uint32(end)).astype(f"<u{width}").tobytes(), 2 if doc is None else 0
+                while True:
+                    room = (size - have) * width
+                    part, left = left[:room], left[room:]
+                    table.append((doc or 0, len(part) // width, flags))
+                    raw.append(part)
+                    have += len(part) // width
+                    if have == size:
+                        yield block()
+                    if not left:
+                        break
+                    flags |= 1
         if table:
             yield block()
 

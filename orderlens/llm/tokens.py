@@ -34,8 +34,10 @@ LIMIT = 2048
 
 #: Fixed value: the pre-tokenizer pattern under which a run of letters is a word by itself, and a mark after it too.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word of letters that normalizing only lowers, and a run of marks after it.
-CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)")
+#: Letters that normalizing only lowers, and marks of which a run after letters is a word by itself.
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "ªµº")
+MARKS = ".,;:!?#$%&*"
+LOWER = "^[a-zß-öø-ÿ]+$"
 
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -54,6 +56,12 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - ends + size, size)
 
 
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the rows ``at``, one row's after the other's, and how many each has."""
+    size = size[at]
+    return values[ranges(start[at], size)], size
+
+
 class Words:
     """Words and their ids: a place for each word, and of each place where its ids start and how many there are."""
 
@@ -79,13 +87,9 @@ class Words:
         self.used += len(ids)
         self.chars += sum(map(len, words))
 
-    def places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids at places, and how many each has."""
-        size = self.size[places]
-        return self.ids[ranges(self.start[places], size)], size
+        return gathered(self.ids, self.start, self.size, places)
 
 
 class Encoder:
@@ -133,39 +137,34 @@ class Encoder:
         return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}))
 
     def _places(self, words: list[str]) -> np.ndarray:
-        """Places of words in the table, which learns those that it lacks."""
+        """Places of distinct words in the table, which learns those that it lacks."""
         at = np.fromiter(map(self.words.at.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
-        if not len(new):
-            return at
-        missing = [words[i] for i in new]
-        if self.words.chars + sum(map(len, missing)) > TABLE:
-            self.words.clear()
-            new, missing = np.arange(len(words)), words
-        self._learn(list(dict.fromkeys(missing)))
-        at[new] = self.words.places(missing)
+        if len(new):
+            missing = [words[i] for i in new]
+            plain = np.asarray(pc.match_substring_regex(pa.array(missing, pa.string()), LOWER)) & (self.bare is not None)
+            n = len(self.words.at)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            self._learn_bare([missing[i] for i in order[: plain.sum()]])
+            self._learn_by_library([missing[i] for i in order[plain.sum() :]])
+            at[new[order]] = np.arange(n, n + len(new))
         return at
 
-    def _learn(self, missing: list[str]) -> None:
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: ids one after the other, where each word's start and how many they are."""
+        if self.words.chars > TABLE:
+            self.words.clear()
         if self.bare is None:
-            self._learn_by_library(missing)
-            return
-        known = self.words.at
-        plain, rest = [], []
-        for w in missing:
-            m = CORE.fullmatch(w)
-            if m is None:
-                rest.append(w)
-            else:
-                plain.append((w, m[1].lower(), m[2]))
-        self._learn_bare([c for c in dict.fromkeys(c for _, c, _ in plain) if c not in known])
-        self._learn_by_library([w for w in dict.fromkeys([*rest, "", *(mark for *_, mark in plain)]) if w not in known])
-        plain = [x for x in plain if x[0] not in known]
-        if plain:
-            names, cores, marks = map(list, zip(*plain, strict=True))
-            both = np.stack([self.words.places(cores), self.words.places(marks)], axis=1).ravel()
-            ids, size = self.words.of(both)
-            self.words.add(names, size.reshape(-1, 2).sum(axis=1), ids)
+            ids, size = self.words.of(self._places(words.to_pylist()))
+        else:
+            core, marks = pc.ascii_rtrim(words, MARKS), pc.utf8_ltrim(words, LETTERS)
+            cut = pc.equal(pc.add(pc.binary_length(core), pc.binary_length(marks)), pc.binary_length(words))
+            core, marks = pc.if_else(cut, pc.utf8_lower(core), words).dictionary_encode(), pc.if_else(cut, marks, "").dictionary_encode()
+            both = [x.indices.to_numpy() for x in (core, marks)]
+            core_at, marks_at = self._places(core.dictionary.to_pylist()), self._places(marks.dictionary.to_pylist())
+            ids, size = self.words.of(np.stack([core_at[both[0]], marks_at[both[1]]], axis=1).ravel())
+            size = size.reshape(-1, 2).sum(axis=1)
+        return ids, np.cumsum(size) - size, size
 
     def _learn_bare(self, words: list[str]) -> None:
         """Learns words of letters in lower case: one call for many, their last ids tell them apart."""
@@ -190,7 +189,8 @@ class Encoder:
         if not self.apart:
             return self.library_spans(text)
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        ids, n = self.words.of(self._places(words))
+        found = pa.array(words, pa.string()).dictionary_encode()
+        ids, n = gathered(*self._table(found.dictionary), found.indices.to_numpy())
         long = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(long + 1) - long - 1
         return ids, np.repeat(starts, n), np.repeat(starts + long, n)
@@ -216,31 +216,26 @@ class Encoder:
 
     def _together(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of some texts by their words."""
+        if not len(texts):
+            return []
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        ids, n = self.words.of(self._places(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        ids, n = gathered(*self._table(words.dictionary), words.indices.to_numpy())
         starts = split.offsets.to_numpy().astype(np.int64)
         return np.split(ids, np.concatenate([[0], np.cumsum(n)])[starts[1:-1] - starts[0]])
 
-    def batches(self, texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-        """Runs of rows (from, to) with the ids of each whole text, no text null; a run has about ``TOGETHER`` characters."""
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts, none of them null; about ``TOGETHER`` bytes of short ones are taken together."""
         size = pc.binary_length(texts).to_numpy().astype(np.int64)
-        run, a = np.cumsum(size) // TOGETHER, 0
-        while a < len(size):
-            b = a + 1 if size[a] > CHUNK else int(np.searchsorted(run, run[a], "right"))
-            large = a + np.flatnonzero(size[a:b] > CHUNK)
-            b = int(large[0]) if len(large) and large[0] > a else b
-            part = texts.slice(a, b - a)
-            if size[a] > CHUNK:
-                text = part[0].as_py()
-                yield a, b, [spliced(self.spans, text) if len(text) > CHUNK else self(text)]
-            else:
-                yield a, b, self._together(part) if self.apart else self.plain(part.to_pylist())
-            a = b
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Ids of one text, not chunked."""
-        return self.spans(text)[0] if self.apart else self.plain([text])[0]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(size)
+        short = np.flatnonzero(size <= CHUNK)
+        for rows in np.split(short, np.flatnonzero(np.diff(np.cumsum(size[short]) // TOGETHER)) + 1):
+            part = texts.take(pa.array(rows))
+            for i, ids in zip(rows.tolist(), self._together(part) if self.apart else self.plain(part.to_pylist()), strict=True):
+                out[i] = ids
+        for i in np.flatnonzero(size > CHUNK).tolist():
+            out[i] = spliced(self.spans, texts[i].as_py())
+        return out
 
 
 def cut(text: str, a: Spans, b: Spans, lo: int, hi: int) -> int | None:
@@ -316,7 +311,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            n = [len(x) for *_, found in encode.batches(batch.column("text")) for x in found]
+            n = [len(x) for x in encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = texts_of(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
