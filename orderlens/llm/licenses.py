@@ -2,8 +2,10 @@
 
 Words of whole texts are hashed, and all rolling word k-gram hashes are joined in Spark to the positions of
 the same k-grams in license templates. Each hit votes for its diagonal (word in the text less word in the
-template); votes are summed by diagonal, neighbouring diagonals are merged into bands, and a band becomes a
-span if enough distinct template positions are covered within it. A phrase's place is an exact diagonal on
+template); votes are summed by diagonal, and neighbouring diagonals are merged into bands of ``WIDTH``, of which each
+half overlaps another, so that a span whose words were shifted by up to half of it lies within one. A band in which enough
+template positions have votes is verified: the longest chain of hits that rises in both the text and the template is
+aligned, and it must cover enough of the template. A phrase's place is an exact diagonal on
 which every k-gram of the phrase has voted. A hit is verified by two independent hashes, 64 and 32 bits.
 
 Grouping is by row, so a passage that many documents share spreads over all tasks; one row's hits are
@@ -15,19 +17,20 @@ overlapping phrases count each; an empty table gives no rows. Only doc_id and te
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import texts_of
 
-#: Words of a k-gram; diagonals that one band may step over; share of a notice's k-grams that a span must cover.
-K, STEP, COVER = 2, 3, 0.6
+#: Words of a k-gram; diagonals of a band; share of a notice's k-grams that a span must cover in order.
+K, WIDTH, COVER = 2, 32, 0.6
 #: Words whose hashes a worker keeps, and k-grams in one batch.
 CACHE, BATCH = 200_000, 200_000
 
@@ -42,6 +45,9 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("creative commons attribution", "cc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0"),
 )
 #: Templates are broadcast; more k-grams than this are refused.
 TEMPLATE_GRAMS = 100_000
@@ -135,6 +141,26 @@ def _grams(k: int):
     return emit
 
 
+def chained(covered) -> int:
+    """Hits (diagonal, template position) of the longest chain that rises in the text and in the template."""
+    tails: list[int] = []
+    for _, t in sorted((d + t, -t) for d, t in covered):
+        at = bisect.bisect_left(tails, -t)
+        tails[at : at + 1] = [-t]
+    return len(tails)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the aligned share of its template in place of a band's hits; of an exact one, the share is given."""
+    for batch in batches:
+        share = [
+            own if hits is None else chained((h["diagonal"], h["t_at"]) for h in hits) / n
+            for own, hits, n in zip(batch.column("share").to_pylist(), batch.column("hits").to_pylist(), batch.column("n_grams").to_pylist(), strict=True)
+        ]
+        keep = [c for c in batch.schema.names if c not in ("hits", "share")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(share, pa.float64())], [*keep, "share"])
+
+
 def licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, cover: float = COVER) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
@@ -148,16 +174,16 @@ def licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, cove
         "row", "template", "t_at", "n_grams", "label", "exact", (F.col("at") - F.col("t_at")).alias("diagonal"),
         F.when(F.col("at") < 0, F.col("gram")).alias("doc_id"), F.when(F.col("at") < 0, F.col("check").cast("long")).alias("n_words"),
     )
-    votes = hits.repartition("row").groupBy("row", "template", "n_grams", "label", "exact", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.collect_set("t_at").alias("covered"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
-    )
-    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = (F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > STEP)).cast("int")
-    bands = votes.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("band", F.sum("apart").over(by_diagonal))
-    spans = bands.groupBy("row", "template", "label", "exact", "band").agg(
-        F.min("diagonal").alias("start"), (F.size(F.array_distinct(F.flatten(F.collect_list("covered")))) / F.max("n_grams")).alias("share"),
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+    tiles = [F.struct(F.floor(x / WIDTH).alias("band"), F.lit(i).alias("side")) for i, x in ((1, F.col("diagonal")), (2, F.col("diagonal") + WIDTH // 2))]
+    alone = F.array(F.struct(F.col("diagonal").cast("long").alias("band"), F.lit(0).alias("side")))
+    tiled = hits.repartition("row").withColumn("tile", F.explode(F.when(F.coalesce("exact", F.lit(True)), alone).otherwise(F.array(*tiles))))
+    votes = tiled.groupBy("row", "template", "n_grams", "label", "exact", "tile").agg(
+        F.collect_set(F.struct("diagonal", "t_at")).alias("hits"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words")
     )
+    bands = votes.withColumn("share", F.size(F.array_distinct(F.col("hits.t_at"))) / F.col("n_grams"))
+    bands = bands.filter(F.col("template").isNull() | F.when(F.col("exact"), F.col("share") == 1.0).otherwise(F.col("share") >= cover))
+    bands = bands.select("row", "n_grams", "label", F.coalesce("exact", F.lit(True)).alias("exact"), F.col("tile.band").alias("start"), F.when(~F.col("exact"), F.col("hits")).alias("hits"), "doc_id", "n_words", "share")
+    spans = bands.mapInArrow(_aligned, "row long, n_grams int, label string, exact boolean, start long, doc_id long, n_words long, share double")
     base = F.col("exact") & (F.col("share") == 1.0)
     ok = base | (~F.col("exact") & (F.col("share") >= cover))
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
