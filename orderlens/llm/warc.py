@@ -2,11 +2,12 @@
 
 Captures are sorted by a reversed-host URL key. Each task writes the captures of one key range as an
 archive of gzip members (one for each record) and, beside it, the index of that archive as compressed
-blocks of index lines. A directory row for each block (first key, last key, place) is the sparse upper
-level. A lookup bisects the directory, reads one index block, bisects its lines, and reads one byte range
-of an archive.
+blocks of index lines, and a directory: a row for each block (first key, last key, place) and the rows' offsets. A table with a
+row for each archive says which keys it holds. A look-up bisects the archives, bisects the directory by seeking in
+it, reads one index block, bisects its lines, and reads one byte range of the archive. Keys are looked up in batches: sorted
+keys are resolved to index blocks, and blocks, not keys, are dealt to tasks, so a key of very many captures is no hot one.
 
-Files get a name of their own in each task attempt; only those that the directory table, which Spark
+Files get a name of their own in each task attempt; only those that the table of archives, which Spark
 commits, names are part of the store. So a lost executor or a speculative attempt leaves files that
 nothing refers to, never a broken store.
 
@@ -21,11 +22,13 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
+import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +42,8 @@ BLOCK_LINES, READ_BYTES = 1000, 8 << 20
 #: Name-space of record ids, so that a rerun writes the same ids.
 RECORD_IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
-DIRECTORY = (
-    "first_key string, first_id long, last_key string, last_id long, archive string, index string, "
-    "index_offset long, index_length long, n_lines long"
-)
+ARCHIVES = "first_key string, last_key string, archive string, index string, directory string, n_blocks long"
+PIECES = "archive string, index string, at long, length long, keys array<string>"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -59,7 +60,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response).
 
     The representatives of payloads that occur again are aggregated before any shuffle, counted, and
-    broadcast if they are few; the payloads themselves aren't shuffled for it.
+    broadcast if they are few; only beyond that bound does the join shuffle the payloads.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select(
@@ -117,15 +118,15 @@ def _writer(to: str, date: str):
         archive = index = None
         lines: list[list] = []
         at = index_at = 0
-        rows: dict[str, list] = {x.split()[0]: [] for x in DIRECTORY.split(", ")}
+        rows: list[bytes] = []
+        first_key = last_key = None
 
         def flush() -> None:
-            nonlocal index_at
+            nonlocal index_at, first_key, last_key
             block = zlib.compress("\n".join(json.dumps(x) for x in lines).encode(), 6)
             index.write(block)
-            first, last = lines[0], lines[-1]
-            for k, v in zip(rows, (first[0], first[1], last[0], last[1], f"{name}.warc.gz", f"{name}.cdx", index_at, len(block), len(lines)), strict=True):
-                rows[k].append(v)
+            rows.append(json.dumps([lines[0][0], lines[-1][0], index_at, len(block)]).encode())
+            first_key, last_key = lines[0][0] if first_key is None else first_key, lines[-1][0]
             index_at += len(block)
             lines.clear()
 
@@ -147,25 +148,57 @@ def _writer(to: str, date: str):
         if archive is not None:
             archive.close()
             index.close()
-            schema = pa.schema([(k, pa.string() if k in ("first_key", "last_key", "archive", "index") else pa.int64()) for k in rows])
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            with fs.open_output_stream(f"{folder}/{name}.dir", compression=None) as f:
+                f.write(b"".join(rows) + np.cumsum([0, *map(len, rows)], dtype="<i8").tobytes() + struct.pack("<q", len(rows)))
+            yield pa.RecordBatch.from_pydict({"first_key": [first_key], "last_key": [last_key], "archive": [f"{name}.warc.gz"], "index": [f"{name}.cdx"], "directory": [f"{name}.dir"], "n_blocks": [len(rows)]})
 
     return write
 
 
+class Directory(Sequence):
+    """The rows (first key, last key, offset and length of the index block) of one archive, each read when it is asked for."""
+
+    def __init__(self, fs, path: str) -> None:
+        self.file = fs.open_input_file(path)
+        size = self.file.size()
+        n = struct.unpack("<q", self.file.read_at(8, size - 8))[0]
+        self.offsets = np.frombuffer(self.file.read_at(8 * (n + 1), size - 8 * (n + 2)), "<i8")
+        self.kept: dict[int, list] = {}
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def __getitem__(self, i: int) -> list:
+        if i not in self.kept:
+            a, b = int(self.offsets[i]), int(self.offsets[i + 1])
+            self.kept[i] = json.loads(self.file.read_at(b - a, a))
+        return self.kept[i]
+
+    def blocks_of(self, key: str) -> Iterator[int]:
+        """Numbers of the blocks that may hold a key."""
+        i = bisect.bisect_left(self, key, key=lambda row: row[1])
+        while i < len(self) and self[i][0] <= key:
+            yield i
+            i += 1
+
+
 def write_store(pages: DataFrame, to: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes archives and index of ``pages`` under ``to`` and returns the directory table (small: a row a block)."""
+    """Writes archives, indexes and directories of ``pages`` under ``to`` and returns the table of archives."""
     spark = pages.sparkSession
     placed = with_revisits(pages).withColumn("url_key", url_key(F.col("url")))
     placed = placed.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
-    placed.mapInArrow(_writer(f"{to}/files", date), DIRECTORY).write.parquet(f"{to}/directory")
-    return spark.read.schema(DIRECTORY).parquet(f"{to}/directory")
+    placed.mapInArrow(_writer(f"{to}/files", date), ARCHIVES).write.parquet(f"{to}/archives")
+    return spark.read.schema(ARCHIVES).parquet(f"{to}/archives")
 
 
-def _block(fs, folder: str, row: dict) -> list[list]:
-    with fs.open_input_file(f"{folder}/{row['index']}") as f:
-        f.seek(row["index_offset"])
-        return [json.loads(x) for x in zlib.decompress(f.read(row["index_length"])).decode().split("\n")]
+def _hits(fs, path: str, at: int, length: int, keys: list[str]) -> list[list]:
+    """The lines of some keys (sorted) in one index block."""
+    with fs.open_input_file(path) as f:
+        lines = [json.loads(x) for x in zlib.decompress(f.read_at(length, at)).decode().split("\n")]
+    own, out = [x[0] for x in lines], []
+    for key in keys:
+        out += lines[bisect.bisect_left(own, key) : bisect.bisect_right(own, key)]
+    return out
 
 
 def _members(fs, path: str, lines: list[list]) -> Iterator[bytes]:
@@ -185,16 +218,43 @@ def _members(fs, path: str, lines: list[list]) -> Iterator[bytes]:
             i = j
 
 
-def read_store(spark: SparkSession, to: str) -> DataFrame:
-    """All records of a store, read back through its index: a task reads index blocks, then byte ranges."""
-    directory = spark.read.schema(DIRECTORY).parquet(f"{to}/directory")
+def _resolver(to: str, table: str):
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Index blocks that may hold keys (sorted), each with its keys."""
+        import pyarrow.parquet as pq
 
+        fs, folder = common.filesystem(f"{to}/files")
+        store, place = common.filesystem(table)
+        archives = sorted(pq.read_table(place, filesystem=store).to_pylist(), key=lambda r: (r["last_key"], r["first_key"]))
+        lasts = [r["last_key"] for r in archives]
+        for batch in batches:
+            directories: dict[int, Directory] = {}
+            pieces: dict[tuple[int, int], list[str]] = {}
+            for key in batch.column("url_key").to_pylist():
+                i = bisect.bisect_left(lasts, key)
+                while i < len(archives) and archives[i]["first_key"] <= key:
+                    if i not in directories:
+                        directories[i] = Directory(fs, f"{folder}/{archives[i]['directory']}")
+                    for block in directories[i].blocks_of(key):
+                        pieces.setdefault((i, block), []).append(key)
+                    i += 1
+            out: dict[str, list] = {x.split()[0]: [] for x in PIECES.split(", ")}
+            for (i, block), keys in pieces.items():
+                for k, v in zip(out, (archives[i]["archive"], archives[i]["index"], *directories[i][block][2:], keys), strict=True):
+                    out[k].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("archive", pa.string()), ("index", pa.string()), ("at", pa.int64()), ("length", pa.int64()), ("keys", pa.list_(pa.string()))]))
+
+    return resolve
+
+
+def _reader(to: str):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = common.filesystem(f"{to}/files")
         for batch in batches:
             for row in batch.to_pylist():
                 out: dict[str, list] = {x.split()[0]: [] for x in RECORDS.split(", ")}
-                for raw in _members(fs, f"{folder}/{row['archive']}", _block(fs, folder, row)):
+                lines = _hits(fs, f"{folder}/{row['index']}", row["at"], row["length"], row["keys"])
+                for raw in _members(fs, f"{folder}/{row['archive']}", lines):
                     h, _ = parse(raw)
                     number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
                     values = (number("x-page-id"), int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"), h["warc-type"], number("x-refers-to-page-id"))
@@ -203,29 +263,35 @@ def read_store(spark: SparkSession, to: str) -> DataFrame:
                 schema = pa.schema([(k, pa.string() if k in ("payload_digest", "record_type") else pa.int64()) for k in out])
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    blocks = directory.select("archive", "index", "index_offset", "index_length").repartition(common.tasks(spark))
-    return blocks.mapInArrow(read, RECORDS)
+    return read
+
+
+def fetch(spark: SparkSession, to: str, urls: DataFrame) -> DataFrame:
+    """All captures of the URLs in a column ``url``, each once, by look-ups in the index of the store ``to``."""
+    keys = urls.select(url_key(F.col("url")).alias("url_key")).distinct().repartitionByRange("url_key").sortWithinPartitions("url_key")
+    pieces = common.table(keys.mapInArrow(_resolver(to, f"{to}/archives"), PIECES), "pieces")
+    return pieces.repartition(max(common.tasks(spark), pieces.count() // 16)).mapInArrow(_reader(to), RECORDS)
 
 
 def lookup(spark: SparkSession, to: str, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """The captures of one URL: bisects the directory, then the lines of the blocks that may hold its key."""
+    """The captures of one URL with their headers and payloads."""
     key = spark.range(1).select(url_key(F.lit(url)).alias("k")).first()["k"]
-    rows = spark.read.schema(DIRECTORY).parquet(f"{to}/directory").filter((F.col("first_key") <= key) & (F.col("last_key") >= key))
+    archives = spark.read.schema(ARCHIVES).parquet(f"{to}/archives").filter((F.col("first_key") <= key) & (F.col("last_key") >= key))
     fs, folder = common.filesystem(f"{to}/files")
     found = []
-    for row in rows.orderBy("first_key", "first_id").toLocalIterator():
-        lines = _block(fs, folder, row.asDict())
-        keys = [x[0] for x in lines]
-        hit = lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
-        found += [parse(raw) for raw in _members(fs, f"{folder}/{row['archive']}", hit)]
+    for row in archives.orderBy("first_key", "last_key").toLocalIterator():
+        directory = Directory(fs, f"{folder}/{row['directory']}")
+        for i in directory.blocks_of(key):
+            hits = _hits(fs, f"{folder}/{row['index']}", *directory[i][2:], [key])
+            found += [parse(raw) for raw in _members(fs, f"{folder}/{row['archive']}", hits)]
     return found
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``pages`` written as a store in the shared folder and read back from it."""
-    to = common.fresh_path(spark, "warc")
-    write_store(spark.read.parquet(f"{sf_dir}/pages.parquet"), to)
-    return read_store(spark, to)
+    """All ``pages`` written as a store in the shared folder, and the captures of all their URLs looked up in it."""
+    to, pages = common.fresh_path(spark, "warc"), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_store(pages, to)
+    return fetch(spark, to, pages)
 
 
 ORACLE = {
