@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that the trigram model is fitted on, over all languages, and the characters of each.
-FIT_ROWS, FIT_CHARS = 4000, 2000
-#: Trigrams beyond which a text's evidence no longer grows, and the weight of one (they overlap).
+#: Labelled rows, with their whole texts, that the trigram model is fitted on, over all languages.
+FIT_ROWS = 4000
+#: Trigrams beyond which a text's evidence grows with the root of their number, as they repeat, and the weight of one.
 FULL, TEMPER = 300, 0.3
 #: Rows that a smoothing prior counts as; share of the posterior that a language needs.
 KAPPA, LEAST = 20.0, 0.5
@@ -39,12 +39,42 @@ KAPPA, LEAST = 20.0, 0.5
 BITS, ADD = 16, 0.05
 UNKNOWN = "und"
 
-MARKUP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+#: What opens a part of a page that isn't text, what closes each kind, and a declared language within an html tag.
+OPENS = re.compile(r"(?i)<(?:(script|style)\b|(!--))?")
+CLOSES = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>"), "!--": re.compile("-->"), None: re.compile(">")}
+HTML, LANG = re.compile(r"(?i)<html\b"), re.compile(r"(?i)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 #: A-Z to a-z; letters and non-ASCII bytes stay; anything else is a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def visible(page: str) -> str:
+    """A page without its tags, comments, scripts and styles; what is never closed stays, but for its opening ``<``.
+
+    Reads on from the end of each part, and a closing that wasn't found isn't searched for again: linear in the page.
+    """
+    out, at, none_left = [], 0, set()
+    for m in iter(lambda: OPENS.search(page, at), None):
+        out.append(page[at : m.start()])
+        kind = (m[1] or m[2] or "").lower() or None
+        at = m.end()
+        for k in dict.fromkeys((kind, None)):  # an unclosed script or comment is still a tag
+            end = None if k in none_left else CLOSES[k].search(page, at)
+            if end:
+                at = end.end()
+                out.append(" ")
+                break
+            none_left.add(k)
+    out.append(page[at:])
+    return "".join(out)
+
+
+def declared_language(page: str) -> str | None:
+    """The lang attribute of a page's first html tag."""
+    m = HTML.search(page)
+    found = m and LANG.search(page, m.end(), (page.find(">", m.end()) + 1 or len(page) + 1) - 1)
+    return found[1].lower() if found else None
+
+
 def trigrams(text: str) -> np.ndarray:
     """Hashed byte trigrams of the words of a text, with a space at either end of each word."""
     words = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
@@ -54,14 +84,25 @@ def trigrams(text: str) -> np.ndarray:
     return ((b[:-2] * np.uint32(65536) + b[1:-1] * np.uint32(256) + b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigram counts by language of whole texts, and for each text a row of gram -1, so that none lacks its language."""
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            grams, n = np.unique(trigrams(text.as_py()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(grams) + 1)), pa.array(np.append(grams.astype(np.int32), np.int32(-1))), pa.array(np.append(n, 1))], ["lang", "gram", "n"])
+
+
 def fitted(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log trigram likelihoods (a row each, then ``und``), from doc_id, text and lang."""
-    labelled = labelled.filter("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text"))
-    rows = common.dealt_sample(labelled, "lang", ["doc_id", "text"], FIT_ROWS).collect()
-    names = sorted({r["lang"] for r in rows})
+    labelled = labelled.filter("text is not null and lang is not null and lang <> ''").select("doc_id", "lang", "text")
+    sample = common.dealt_sample(labelled, "lang", ["doc_id", "text"], FIT_ROWS)
+    found = sample.mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(found.column("lang").to_pylist()))  # at most 65,536 rows for each language
     counts = np.zeros((len(names) + 1, 1 << BITS))
-    for r in rows:
-        counts[names.index(r["lang"])] += np.bincount(trigrams(r["text"]), minlength=1 << BITS)
+    at = {name: i for i, name in enumerate(names)}
+    rows = np.fromiter((at[x] for x in found.column("lang").to_pylist()), np.int64, found.num_rows)
+    ok = found.column("gram").to_numpy() >= 0
+    counts[rows[ok], found.column("gram").to_numpy()[ok]] = found.column("n").to_numpy()[ok]
     p = (counts + ADD) / (counts + ADD).sum(axis=1, keepdims=True)
     p[-1] = 1 / (1 << BITS)
     return [*names, UNKNOWN], np.log(p)
@@ -77,15 +118,14 @@ def _scorer(table: np.ndarray, markup: bool):
             for i, text in enumerate(texts):
                 text = text or ""
                 if markup:
-                    if declared[i] is None and (m := LANG.search(text)):
-                        declared[i] = m[1].lower()
-                    text = MARKUP.sub(" ", text)
+                    declared[i] = declared_language(text) if declared[i] is None else declared[i]
+                    text = visible(text)
                 grams = trigrams(text)
                 total = np.zeros(table.shape[1])
                 for a in range(0, len(grams), 1 << 16):
                     total += table[grams[a : a + (1 << 16)]].sum(axis=0, dtype=np.float64)
                 n = len(grams)
-                x = total / n * min(n, FULL) * TEMPER if n else total
+                x = total / (1 + n / FULL) ** 0.5 * TEMPER if n else total
                 out.append(x - x.max())
             flat = np.concatenate(out) if out else np.zeros(0)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * table.shape[1]), pa.array(flat))
