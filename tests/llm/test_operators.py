@@ -123,6 +123,43 @@ def test_language_evidence(spark):
     assert not found[None]["accepted"]
 
 
+def test_language_against_brute_force(spark):
+    words = {"en": "the house and tree with water of", "de": "der baum und das haus mit wasser", "fr": "le chat et la maison avec eau"}
+    rng = np.random.default_rng(5)
+    made = [(i, " ".join(rng.choice(words[l].split(), int(rng.integers(1, 60)))), l) for i, l in enumerate(["en", "de", "fr"] * 20)]
+    names, table = langid.fitted(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    grams = [langid.trigrams(t) for _, t, _ in made]
+    for k, name in enumerate(names[:-1]):  # the model is the counts of whole texts
+        counts = sum(np.bincount(g, minlength=1 << langid.BITS) for g, (_, _, l) in zip(grams, made, strict=True) if l == name) + langid.ADD
+        assert np.allclose(table[k], np.log(counts / counts.sum()))
+    html = lambda t, lang: f"<html lang='{lang}'><!-- der das und --><p>{t}</p>" if lang else f"<p>{t}</p>"
+    pages = [(i, f"http://h{i % 5}.d{i % 2}.{'de' if l == 'de' else 'com'}/", html(t, l if i % 3 else None)) for i, t, l in made]
+    pages += [pages[0], pages[0], (900, None, None), (901, "x", ""), (902, "http://h0.d0.com/", "<script>x" * 30_000), (903, "http://h1.d1.com/", "the house " * 200_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows_ = langid.page_rows(frame).collect()
+    n, p, keys = len(names), [], []
+    for r in rows_:
+        text = r["text"] or ""
+        g = langid.trigrams(langid.visible(text))
+        x = table[:, g].sum(axis=1) / (1 + len(g) / langid.FULL) ** 0.5 * langid.TEMPER
+        p.append((x - x.max(), np.exp(x - x.max()) / np.exp(x - x.max()).sum()))
+        keys.append({"declared": langid.declared_language(text), "suffix": r["suffix"], "domain": r["domain"], "host": r["host"]})
+    whole = sum(q for _, q in p)
+    known = (whole + 1) / (whole.sum() + n)
+    want = []
+    for i, r in enumerate(rows_):
+        others = {by: sum((q for j, (_, q) in enumerate(p) if j != i and keys[j][by] == keys[i][by] is not None), np.zeros(n)) for by in keys[i]}
+        smooth = lambda c, prior: (c + langid.KAPPA * prior) / (c.sum() + langid.KAPPA)
+        x = p[i][0] + np.log(smooth(others["host"], smooth(others["domain"], known))) + sum(np.log(smooth(others[by], known) / known) for by in ("declared", "suffix"))
+        post = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        want.append((str(r["page_id"]), names[int(post.argmax())], round(float(post.max()), 5)))
+    found = langid.identify(langid.page_rows(frame), names, table, markup=True)
+    got = [(str(r["page_id"]), r["lang"], round(r["confidence"], 5)) for r in found.collect()]
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
+    assert langid.identify(langid.page_rows(frame.limit(0)), names, table, markup=True).count() == 0
+
+
 def test_language_documents(docs, empty):
     kept = langid.accepted_documents(docs)
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
@@ -259,11 +296,15 @@ def brute_licenses(text):
 def test_license_phrases_and_notices(spark, docs, empty):
     notice = "Permission is hereby granted, free of charge, to any PERSON obtaining one extra copy of this software and associated documentation files (the thing)"
     more = docs_of(spark, TEXTS + [(300, notice), (301, "general public license mit license " * 3), (302, "of the and in the " * 50), (303, "mit  license" + LONG + "apache license")])
+    words = licenses.NOTICES[0][0].split()
+    chunks = [" ".join(words[i : i + 5]) for i in range(0, len(words), 5)]
+    more = more.unionByName(docs_of(spark, [(304, " ".join(chunks[::-1])), (305, (" filler" * 60).join(chunks)), (306, "so " * 77 + " and one ".join(chunks))]), allowMissingColumns=True)
     got = licenses.licenses(more).collect()
     want = Counter((d, *brute_licenses(t)) for d, t in [(r["doc_id"], r["text"]) for r in more.collect()])
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
     by = {r["doc_id"]: r for r in got}
     assert by[300]["labels"] == "mit" and by[300]["base_labels"] == "" and 0.6 <= by[300]["score"] < 1
+    assert by[304]["labels"] == by[305]["labels"] == "" and by[306]["labels"] == "mit"  # in order and near each other
     assert by[302]["labels"] == "" and by[302]["score"] == 0 and by[301]["score"] == 1
     assert licenses.licenses(empty).count() == 0
 
@@ -376,7 +417,7 @@ def test_warc_store(spark):
     table = spark.createDataFrame([(*p, 1, "k") for p in pages], "page_id long, url string, html string, refers_to int, url_key string")
     to = common.fresh_path(spark, "test-warc")
     warc.write_store(table, to)
-    got = Counter(rows(warc.read_store(spark, to)))
+    got = Counter(rows(warc.fetch(spark, to, table)))
     want = Counter()
     for i, _, html in pages:
         raw = (html or "").encode()
@@ -390,7 +431,7 @@ def test_warc_store(spark):
     assert warc.lookup(spark, to, "http://nowhere/") == []
     to = common.fresh_path(spark, "test-warc-none")
     warc.write_store(table.limit(0), to)
-    assert warc.read_store(spark, to).count() == 0
+    assert warc.fetch(spark, to, table).count() == 0
 
 
 # --- 10
@@ -418,17 +459,33 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(vectors_of(spark, items).limit(0)).count() == 0
 
 
-def test_recall_at_the_threshold(spark):
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "shared mean"])
+def test_recall_at_the_threshold(spark, monkeypatch, kind):
     rng = np.random.default_rng(8)
-    a = rng.normal(size=(400, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    a = rng.normal(size=(900, 64))
+    if kind == "clustered":
+        a = rng.normal(size=(6, 64))[rng.integers(0, 6, 900)] + 0.5 * a
+    elif kind == "shared mean":
+        a = a + 1.8 * rng.normal(size=(1, 64))
+    a = unit_rows(a)
     noise = rng.normal(size=a.shape)
-    noise -= (noise * a).sum(1, keepdims=True) * a
-    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    noise = unit_rows(noise - (noise * a).sum(1, keepdims=True) * a)
     b = 0.951 * a + math.sqrt(1 - 0.951**2) * noise
-    items = [(i, list(map(float, v))) for i, v in enumerate(np.concatenate([a, b]))]
-    got = embeddings.near_duplicates(vectors_of(spark, items))
-    assert got.filter("n_links > 0").count() >= 0.9 * 800
+    x = np.concatenate([a, b])
+    table = vectors_of(spark, [(i, list(map(float, v))) for i, v in enumerate(x)]).cache()
+    x = unit_rows(x.astype(np.float32).astype(np.float64))
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()}
+    assert all(got[i] <= w for i, w in enumerate(want.tolist())) and sum(got.values()) >= 0.9 * want.sum() > 1500
+    centre, pivots = embeddings.pivots_of(table, 1800)[64]
+    lists = np.bincount(np.argsort(-((x - centre) @ pivots.T), 1)[:, : embeddings.ROUTE].ravel())
+    assert len(pivots) > 100 and lists.max() < 450  # no list is the table
+    monkeypatch.setattr(embeddings, "SPLIT", 40)
+    assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table).collect()} == got  # splitting loses no link
 
 
 def test_components(spark):
