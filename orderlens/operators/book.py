@@ -75,7 +75,7 @@ def snapshots(rows: DataFrame, sizes: DataFrame, levels: int, bin_rows: int = BI
     names = book_columns(levels)
     points = rows.select("symbol", "seq").withColumn("bin", F.floor(F.col("seq") / bin_rows))
     last = points.groupBy("symbol").agg(F.max("bin").alias("last"))
-    live = sizes.filter("size > 0").join(F.broadcast(last), "symbol")
+    live = sizes.filter("size > 0").join(last, "symbol")
     begin = F.floor(F.greatest(F.col("seq"), F.lit(0)) / bin_rows)
     end = F.coalesce(F.floor((F.col("until") - 1) / bin_rows), F.col("last"))
     live = live.filter(begin <= F.col("last")).withColumn("bin", F.explode(F.sequence(begin, F.least(end, F.col("last")))))

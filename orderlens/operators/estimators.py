@@ -19,6 +19,8 @@ from ..schema import EstimationResult, known
 
 #: Rows in a window partition of a lagged pass.
 CHUNK = 200_000
+#: Parts that distinct values are dealt to for ranks.
+RANK_PARTS = 64
 
 
 def global_rows(rows: DataFrame, groups: tuple[str, ...], order: str) -> DataFrame:
@@ -188,13 +190,16 @@ def average_ranks(rows: DataFrame, column: str, to: str) -> DataFrame:
     """Adds ranks with ties averaged, from the counts of distinct values: rows are never in one window."""
     counts = rows.groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     part = F.col("__part")
-    spread = counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
+    # parts of even size by bounds that are values, so that a part is the same whenever it is computed
+    bounds = sorted(set(counts.select(F.col("__v").cast("double").alias("v")).approxQuantile("v", [i / RANK_PARTS for i in range(1, RANK_PARTS)], 0.25 / RANK_PARTS)))
+    below = F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("__v")) if bounds else F.array()
+    spread = counts.withColumn("__part", F.size(below))
     inside = Window.partitionBy(part).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     spread = spread.withColumn("__upto", F.sum("__c").over(inside))
     totals = spread.groupBy(part).agg(F.sum("__c").alias("__t"))
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(part, F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__shift"))
-    ranks = spread.join(F.broadcast(totals), "__part").select("__v", (F.col("__upto") + F.col("__shift") - (F.col("__c") - 1) / 2.0).alias(to))
+    ranks = spread.join(totals, "__part").select("__v", (F.col("__upto") + F.col("__shift") - (F.col("__c") - 1) / 2.0).alias(to))
     return rows.join(ranks, rows[column] == ranks["__v"]).drop("__v")
 
 
@@ -237,7 +242,7 @@ def acf(rows: DataFrame, x: str, lags: int, by: str = "symbol", row: str = "row"
     if lags < 1:
         raise ValueError(f"lags must be at least 1, not {lags}")
     means = rows.groupBy(by).agg(F.avg(x).alias("__m"), F.count(F.lit(1)).alias("n"))
-    base = rows.select(by, row, x).join(F.broadcast(means), by).select(by, F.col(row).alias("row"), (F.col(x) - F.col("__m")).alias("a"), "n")
+    base = rows.select(by, row, x).join(means, by).select(by, F.col(row).alias("row"), (F.col(x) - F.col("__m")).alias("a"), "n")
     w = Window.partitionBy(by, "chunk").orderBy("row")
     held = chunked(base, lags, max(chunk, lags + 1))
     past = F.collect_list("a").over(w.rowsBetween(-lags, -1))
@@ -246,7 +251,7 @@ def acf(rows: DataFrame, x: str, lags: int, by: str = "symbol", row: str = "row"
     pairs = held.select(by, "n", "a", F.posexplode_outer(F.reverse("past")).alias("lag", "b"))
     squares = base.groupBy(by).agg(F.sum(F.col("a") * F.col("a")).alias("ss"))
     sums = pairs.filter("lag is not null").groupBy(by, "n", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return sums.join(F.broadcast(squares), by).select(by, (F.col("lag") + 1).alias("lag"), (F.col("s") / F.nullif("ss", F.lit(0.0))).alias("r"), "n")
+    return sums.join(squares, by).select(by, (F.col("lag") + 1).alias("lag"), (F.col("s") / F.nullif("ss", F.lit(0.0))).alias("r"), "n")
 
 
 def bartlett(correlations: DataFrame, by: str = "symbol", ci_level: float = CI_LEVEL) -> DataFrame:

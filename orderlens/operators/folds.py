@@ -76,7 +76,7 @@ def members(rows: DataFrame, bounds: DataFrame, row: str = "row") -> DataFrame:
     at = F.col(row)
     test = (at >= F.col("test_lo")) & (at < F.col("test_hi"))
     train = (at < F.col("train_end")) | (at >= F.col("train_from"))
-    joined = rows.join(F.broadcast(bounds), "symbol").filter(test | train)
+    joined = rows.join(bounds, "symbol").filter(test | train)
     return joined.withColumn("part", F.when(test, "test").otherwise("train"))
 
 
@@ -111,7 +111,7 @@ def audit(spark: SparkSession, parts: DataFrame, label_horizon: int, embargo: in
     """
     by = [c for c in ("symbol", "fold") if c in parts.columns]
     blocks = parts.filter("part = 'test'").groupBy(*by).agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    train = parts.filter("part = 'train'").join(F.broadcast(blocks), by)
+    train = parts.filter("part = 'train'").join(blocks, by)
     found = train.groupBy(*by).agg(
         F.count_if(label_overlaps(train, F.col("lo"), F.col("hi"), label_horizon, row)).alias("label_overlap"),
         (F.count_if(embargo_breaches(F.col("lo"), F.col("hi"), embargo, row)) if embargo else F.lit(0).cast("long")).alias("embargo_breach"),

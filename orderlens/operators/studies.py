@@ -74,7 +74,7 @@ def out_of_sample(pairs: DataFrame, horizon: int) -> DataFrame | None:
                 rows.append((s, f.fold, f.test_lo, f.test_hi))
     if not rows:
         return None
-    bounds = F.broadcast(spark.createDataFrame(rows, "symbol string, fold int, lo long, hi long"))
+    bounds = spark.createDataFrame(rows, "symbol string, fold int, lo long, hi long")
     held = pairs.join(bounds, "symbol").filter((F.col("in_symbol") >= F.col("lo")) & (F.col("in_symbol") < F.col("hi")))
     return E.global_rows(held.select("symbol", "fold", "bucket", "x", "y"), ("symbol", "fold"), "bucket")
 
@@ -119,7 +119,7 @@ def sign_series(rows: DataFrame, least: int = max(R.HORIZON_GRID_EVENTS) + 10) -
     signs = rows.filter(F.col("tick_sign").isNotNull()).select("symbol", "seq", F.col("tick_sign").alias("sign"))
     signs = signs.withColumn("row", F.row_number().over(Window.partitionBy("symbol").orderBy("seq")) - 1)
     enough = signs.groupBy("symbol").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > least)
-    return signs.join(F.broadcast(enough), "symbol").select("symbol", "row", "sign")
+    return signs.join(enough, "symbol").select("symbol", "row", "sign")
 
 
 def weighted_acf(per_symbol: DataFrame) -> DataFrame:
