@@ -2,8 +2,8 @@
 
 A text is the set of its hashed word shingles. In each run, a set chooses the members whose hash, salted by
 the run, is small enough that 1 / (LAMBDA * size) of them pass; sets that choose the same member meet in a
-bucket. A pair at the threshold shares about one chosen member or more in a run, so the runs together miss few pairs
-(``RUNS`` leaves about one in ten thousand). A bucket over ``LIMIT`` whose sets are not alike on the whole is split
+bucket. A pair at the threshold shares one chosen member or more on average in a run (one where sizes differ by a quarter, the
+least), so r runs miss e^-r of such pairs at most, and runs are repeated until ``RECALL`` is reached. A bucket over ``LIMIT`` whose sets are not alike on the whole is split
 again by members chosen with the path so far as salt, and so on; others are brute-forced by 64-byte sketches,
 which drop what is clearly apart. Sets that a chain of such candidate pairs joins form a group, and within a group all pairs
 are compared exactly, by the number of shared shingles. Candidates, then, only have to join groups: no list
@@ -20,6 +20,7 @@ Columns other than doc_id and text are not read. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,10 @@ from .tokens import texts_of
 
 #: Words of a shingle; similarity of a link as a fraction.
 K, OVER, UNDER = 5, 4, 5
-#: Chosen members: one in LAMBDA times the size; runs; sets in a bucket that is brute-forced; levels of splitting.
-LAMBDA, RUNS, LIMIT, DEPTH = 0.8, 8, 4096, 12
+#: Chosen members: one in LAMBDA times the size; target recall at the threshold, and the runs that it takes; sets in a bucket
+#: that is brute-forced; levels of splitting.
+LAMBDA, RECALL, LIMIT, DEPTH = 0.8, 0.9995, 4096, 12
+RUNS = math.ceil(-math.log(1 - RECALL))
 #: Mean similarity of a bucket's sets from which it is not split, as splitting would only lose links of near copies.
 DENSE = 0.2
 #: Bins of a sketch; agreement that keeps a pair; sets under so many members are kept whatever their sketches say.
