@@ -229,6 +229,12 @@ def test_block_pruning_skips_and_stays_exact():
     impact = lambda tf: tf * 2.2 / (tf + 1.2)
     every = sorted(((sum(w * impact(float(f[np.flatnonzero(t == x)[0]])) for x, w in zip(terms, weights, strict=True) if x in t), -i) for i, t, f, _, _ in held), reverse=True)[:7]
     assert [d for _, d in got] == [d for _, d in every] and np.allclose([s for s, _ in got], [s for s, _ in every])
+    assert index.scored < index.n_blocks
+    # few documents are much better than others: nearly all blocks are skipped
+    held = [(i, np.array([0, 1 + i % 39]), np.array([50 if i % 400 == 0 else 1, 1]), 30, i % 400) for i in range(2000)]
+    index, best = search.Index(list(held), 40, 30.0), [[]]
+    index.search_all([np.array([0])], [np.array([1.0])], best, 5)
+    assert [d for _, d in best[0]] == [0, -400, -800, -1200, -1600] and index.scored < index.n_blocks / 4
 
 
 # --- 4
