@@ -10,7 +10,8 @@ are compared exactly, by the number of shared shingles. Candidates, then, only h
 of pairs is made, and what leaves a task is a count and a link for each set.
 
 Texts with equal sets are one class with a count. Buckets and groups are dealt to tasks in blocks by a hash, two
-blocks to a task, so no task holds a whole hot one.
+blocks to a task, so no task holds a whole hot one; large groups are first cut by size, as sets whose sizes differ by more
+than a quarter can't be links.
 
 Defined results: null text counts as empty; texts without words form one class; a text of fewer words than a
 shingle has one shingle, of all its words; a null doc_id takes part; repeated rows are rows each and link.
@@ -44,8 +45,9 @@ RUNS = math.ceil(-math.log(1 - RECALL))
 DENSE = 0.2
 #: Bins of a sketch; agreement that keeps a pair; sets under so many members are kept whatever their sketches say.
 BINS, AGREE, SMALL = 64, 0.55, 16
-#: Sets in a block; members that one product of incidence matrices takes.
-BLOCK, COLUMNS = 256, 4096
+#: Sets in a block; members that one product of incidence matrices takes; ratio of sizes in a step, a little over
+#: UNDER / OVER, so that rounding can't part the sets of a link by two steps.
+BLOCK, COLUMNS, STEP = 256, 4096, 1.26
 
 
 def shingle_set(words: list[bytes], kept: Hashes, k: int = K) -> np.ndarray:
@@ -254,6 +256,29 @@ def _dealt(df: DataFrame, by: str, keep: list[str]) -> DataFrame:
     return out.select(by, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *keep)
 
 
+def _stepped(rows: DataFrame) -> DataFrame:
+    """Sets (id, grp, n, size) of groups with the steps of size that they may have links in, and the blocks of each.
+
+    Groups over ``BLOCK`` are cut by size in steps of ``STEP``: a link's sets are in one step or in two that adjoin, so
+    blocks further apart never meet, however long the chain of candidates that holds a group together.
+    """
+    step = F.when(F.col("n") > BLOCK, F.floor(F.log("size") / math.log(STEP))).otherwise(0).cast("long")
+    rows = common.table(rows.withColumn("step", step), "grouped")
+    blocks = rows.groupBy("grp", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    near = blocks.select("grp", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.struct(F.col("step").alias("at"), "blocks").alias("b"))
+    near = common.table(near.groupBy("grp", "step").agg(F.collect_list("b").alias("near")), "near")
+    return rows.join(common.bounded_broadcast(near), ["grp", "step"]).drop("n", "size")
+
+
+def _crossed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Sets as ``_stepped`` left them, dealt in blocks, with a copy for each other block of the steps beside theirs."""
+    block = lambda at, sub: F.shiftleft(at, 32) + sub
+    own = F.filter("near", lambda b: b["at"] == F.col("step"))[0]["blocks"]
+    others = F.flatten(F.transform("near", lambda b: F.transform(F.sequence(F.lit(0), b["blocks"] - 1), lambda sub: block(b["at"], sub))))
+    out = rows.withColumn("side", block(F.col("step"), F.pmod(F.xxhash64("id"), own))).withColumn("other", F.explode(others))
+    return out.select("grp", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", *keep)
+
+
 def _likeness(rows: DataFrame) -> DataFrame:
     """path, likeness: the share of pairs of a bucket's sets that agree in a bin of their sketches, over eight bins."""
     bins = F.explode(F.transform(F.sequence(F.lit(1), F.lit(BINS), F.lit(BINS // 8)), lambda b: F.struct(b.alias("bin"), F.col("sketch").substr(b, F.lit(1)).alias("mark"))))
@@ -318,8 +343,8 @@ def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIM
     classes = common.table(classes.withColumn("id", F.col("least.row")), "classes")
     groups = components(candidates(docs, classes, k, limit)).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    wanted = classes.select("id", "key", "copies").join(groups.join(sizes, "grp"), "id")
-    dealt = _dealt(class_sets(docs, wanted, k), "grp", ["id", "copies", "members"])
+    wanted = classes.select("id", "key", "copies", "size").join(groups.join(sizes, "grp"), "id")
+    dealt = _crossed(class_sets(docs, _stepped(wanted), k), ["id", "copies", "members"])
     found = common.table(dealt.groupBy("grp", "i", "j").applyInArrow(_verified, "id long, links long, root long"), "found")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -280,6 +280,24 @@ def test_jaccard_join(spark, limit):
     assert sum(r["kept"] for r in got) == len(set(root))
 
 
+def test_chains_of_many_sizes_are_cut(spark, monkeypatch):
+    """A group that a chain of growing texts joins: all links, and no comparison of sizes far apart."""
+    monkeypatch.setattr(shingles, "BLOCK", 8)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[: 24 + 3 * i])) for i in range(120)]
+    link, root = brute_jaccard(items)
+    assert set(root) == {0}
+    got = {r["doc_id"]: r for r in shingles.jaccard_join(docs_of(spark, items)).collect()}
+    assert [got[i]["n_links"] for i in range(120)] == [sum(x) for x in link]
+    assert {r["component_id"] for r in got.values()} == {0}
+    rows = spark.createDataFrame([(i, 1, 120, 20 + 3 * i) for i in range(120)], "id long, grp long, n long, size int")
+    pairs = shingles._crossed(shingles._stepped(rows), ["id"])
+    met = {(r["grp"], r["i"], r["j"]) for r in pairs.collect()}
+    blocks = {x for _, i, j in met for x in (i, j)}
+    assert len(met) < len(blocks) * (len(blocks) + 1) // 4
+    assert all(abs((i >> 32) - (j >> 32)) <= 1 for _, i, j in met)
+
+
 def test_jaccard_keeps_one_row_of_each_group(docs, empty):
     out = shingles.distinct_documents(docs)
     assert out.columns == docs.columns
