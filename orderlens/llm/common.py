@@ -44,6 +44,39 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _parquet_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of Parquet files with nothing but columns and filters over it."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet"
+
+
+def row_numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a number of each row, the same in every scan, and the name of that column, which no other has.
+
+    A number is the place of the row's file among the files, and the row's place in the file. Numbers by partitions
+    (``monotonically_increasing_id``) won't do where a table is scanned twice: its splits follow from the cores that the
+    cluster has at that time. What isn't a scan of Parquet files is written to a table first.
+    """
+    spark, name = df.sparkSession, "__orderlens_row"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    if not _parquet_scan(df):
+        df = table(df, "rows")
+    meta = df.metadataColumn("_metadata")
+    place, file = meta["row_index"], f"{name}_file"
+    paths = sorted(r[0] for r in df.select(meta["file_path"]).distinct().collect())
+    if len(paths) < 2:
+        return df.select("*", place.alias(name)), name
+    files = spark.createDataFrame(list(enumerate(paths)), f"{name}_at long, {file} string")
+    own = df.select("*", place.alias(name), meta["file_path"].alias(file)).join(bounded_broadcast(files), file)
+    return own.withColumn(name, F.shiftleft(f"{name}_at", 40) + F.col(name)).drop(file, f"{name}_at"), name
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows, else as it is.
 

@@ -197,11 +197,11 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified, with their columns; the source stands for the host."""
-    own = docs.withColumn("__orderlens_row", F.monotonically_increasing_id())
-    rows = own.select("__orderlens_row", F.col("text").cast("string").alias("text"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"))
-    found = identify(rows, *fitted(docs.select("doc_id", "text", "lang")), markup=False)
-    rejected = common.bounded_broadcast(common.table(found.filter(~F.col("accepted")).select("__orderlens_row"), "rejected"))
-    return own.join(rejected, "__orderlens_row", "left_anti").select(*docs.columns)
+    own, row = common.row_numbered(docs)
+    rows = own.select(row, F.col("text").cast("string").alias("text"), F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"))
+    found = identify(rows, *fitted(own.select("doc_id", "text", "lang")), markup=False)
+    rejected = common.bounded_broadcast(common.table(found.filter(~F.col("accepted")).select(row), "rejected"))
+    return own.join(rejected, row, "left_anti").select(*docs.columns)
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

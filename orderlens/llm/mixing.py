@@ -114,10 +114,11 @@ def mixed(docs: DataFrame, *keep: str) -> DataFrame:
 
 def curriculum(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in training order, with their columns: one for each pass that takes some of its words."""
-    own = docs.withColumn("__orderlens_row", F.monotonically_increasing_id())
-    passes = mixed(own, "__orderlens_row").select("__orderlens_row", F.explode(F.array_compact(F.array("position", "again_at"))).alias("__orderlens_at"))
+    own, row = common.row_numbered(docs)
+    at = f"{row}_at"
+    passes = mixed(own, row).select(row, F.explode(F.array_compact(F.array("position", "again_at"))).alias(at))
     passes = common.bounded_broadcast(common.table(passes, "passes"), 500_000)
-    return own.join(passes, "__orderlens_row").orderBy("__orderlens_at", "__orderlens_row").select(*docs.columns)
+    return own.join(passes, row).orderBy(at, row).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

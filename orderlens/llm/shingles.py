@@ -286,7 +286,7 @@ def _likeness(rows: DataFrame) -> DataFrame:
     return counts.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / F.max(F.col("n") * F.col("n") * 8.0)).alias("likeness"))
 
 
-def candidates(docs: DataFrame, classes: DataFrame, k: int = K, limit: int = LIMIT) -> DataFrame:
+def candidates(texts: DataFrame, classes: DataFrame, k: int = K, limit: int = LIMIT) -> DataFrame:
     """(a, b): links by which the sets of each bucket that may be similar hang together.
 
     Only ids and paths are shuffled for all sets; sketches join those that share a path with another.
@@ -308,20 +308,15 @@ def candidates(docs: DataFrame, classes: DataFrame, k: int = K, limit: int = LIM
         if split is None:
             return found
         members = shared.join(split, "path", "left_semi").select("id", "path")
-        sets = class_sets(docs, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key"), k)
+        sets = class_sets(texts, classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key"), k)
         frontier = common.table(members.join(sets, "id").mapInArrow(_split, "id long, path long").distinct(), "frontier")
     return found
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a number of each row, the same whenever the same files are read."""
-    return texts_of(docs).withColumn("row", F.monotonically_increasing_id())
-
-
-def class_sets(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
+def class_sets(texts: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
     """``wanted`` (id, key and what else goes along) with members; only the texts of those ids are hashed again."""
     wanted = common.bounded_broadcast(common.table(wanted, "wanted"), 500_000)
-    texts = numbered(docs).select("text", "row").join(wanted, F.col("row") == F.col("id")).drop("row")
+    texts = texts.select("text", "row").join(wanted, F.col("row") == F.col("id")).drop("row")
     keep = [f for f in wanted.schema.fields if f.name != "key"]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in keep), "members binary"])
     return texts.mapInArrow(_sets(k, [f.name for f in keep]), schema)
@@ -332,19 +327,24 @@ def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIM
 
     class_id is the smallest doc_id with the same set; n_links the number of other rows at a similarity of 0.8 or more;
     component_id the smallest doc_id that links reach; ``kept`` marks one row of each component (the first of those
-    with that id; null ids come last).
+    with that id; null ids come last). ``row`` is a number of each row, the same whenever the same files are read.
     """
-    signed = numbered(docs).mapInArrow(_signer(k, runs), "doc_id long, row long, key binary, size int, sketch binary, paths array<long>")
+    return _joined(*common.row_numbered(docs), k, runs, limit)
+
+
+def _joined(own: DataFrame, row: str, k: int = K, runs: int = RUNS, limit: int = LIMIT) -> DataFrame:
+    texts = texts_of(own, row=row)
+    signed = texts.mapInArrow(_signer(k, runs), "doc_id long, row long, key binary, size int, sketch binary, paths array<long>")
     signed = common.table(signed, "signed")
     classes = signed.groupBy("key").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
         F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"),
     )
     classes = common.table(classes.withColumn("id", F.col("least.row")), "classes")
-    groups = components(candidates(docs, classes, k, limit)).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
+    groups = components(candidates(texts, classes, k, limit)).withColumnRenamed("node", "id").withColumnRenamed("root", "grp")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     wanted = classes.select("id", "key", "copies", "size").join(groups.join(sizes, "grp"), "id")
-    dealt = _crossed(class_sets(docs, _stepped(wanted), k), ["id", "copies", "members"])
+    dealt = _crossed(class_sets(texts, _stepped(wanted), k), ["id", "copies", "members"])
     found = common.table(dealt.groupBy("grp", "i", "j").applyInArrow(_verified, "id long, links long, root long"), "found")
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -360,10 +360,10 @@ def jaccard_join(docs: DataFrame, k: int = K, runs: int = RUNS, limit: int = LIM
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of each near-duplicate group of ``docs``, with its columns."""
-    dropped = jaccard_join(docs).filter(~F.col("kept")).select(F.col("row").alias("__orderlens_row"))
+    own, row = common.row_numbered(docs)
+    dropped = _joined(own, row).filter(~F.col("kept")).select(F.col("row").alias(row))
     dropped = common.bounded_broadcast(common.table(dropped, "dropped"), 500_000)
-    own = docs.withColumn("__orderlens_row", F.monotonically_increasing_id())
-    return own.join(dropped, "__orderlens_row", "left_anti").select(*docs.columns)
+    return own.join(dropped, row, "left_anti").select(*docs.columns)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,9 +297,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text alone (null text: empty), whatever other columns there are."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id and text alone (null text: empty), whatever other columns there are, and ``row`` as row where one is named."""
+    more = [] if row is None else [F.col(row).alias("row")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -45,6 +45,30 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+def test_row_numbers_are_the_same_in_every_scan(spark, docs, empty):
+    """Whatever the splits, files and columns; also for tables that aren't scans, and with names that clash."""
+    def numbers(df):
+        own, row = common.row_numbered(df)
+        return {(r[row], r["doc_id"], r["text"]) for r in own.collect()}
+
+    once = numbers(docs)
+    assert len({x[0] for x in once}) == docs.count() and len(docs.inputFiles()) > 1
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert numbers(docs.select("text", "doc_id")) == once
+        assert numbers(docs.filter("doc_id > 5")) < once
+    finally:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+    clash = docs_of(spark).withColumn("__orderlens_row", F.lit(1)).withColumn("_metadata", F.lit("x"))
+    own, row = common.row_numbered(clash)
+    assert own.columns[:-1] == clash.columns and own.select(row).distinct().count() == len(TEXTS)
+    assert numbers(empty) == set()
+    assert mixing.curriculum(clash).columns == shingles.distinct_documents(clash).columns == clash.columns
+
+
 # --- 1
 
 def brute_mix(items):
