@@ -6,9 +6,11 @@ folder that the cluster names in ``spark.checkpoint.dir``, so a lost executor lo
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +133,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def release() -> None:
+    """Gives the memory that a worker has freed back to the system: workers outlive their tasks, and others wait beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks to deal small work items to: a few for each core that the session has."""
     return max(8, 2 * spark.sparkContext.defaultParallelism)

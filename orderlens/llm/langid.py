@@ -131,6 +131,7 @@ def _scorer(table: np.ndarray, markup: bool):
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * table.shape[1]), pa.array(flat))
             keep = [c for c in batch.schema.names if c not in ("text", "declared")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(declared, pa.string()), values], [*keep, "declared", "evidence"])
+        common.release()
 
     return score
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common
 from .tokens import texts_of, vocabulary
 
 #: Exponent of piece weights (0: all segmentations alike; large: the best one), and the seed.
@@ -255,6 +256,7 @@ def sampled(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), lists, pa.array(same)], ["doc_id", "n_pieces", "ids", "lossless"])
                 a = b
             model.forget()
+            common.release()
 
     return texts_of(docs).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 

@@ -97,6 +97,8 @@ def _signer(k: int, runs: int):
                 cuts = np.cumsum([0, *map(len, paths)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(paths)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], ["doc_id", "row", "key", "size", "sketch", "paths"])
+        kept.clear()
+        common.release()
 
     return sign
 
@@ -111,6 +113,8 @@ def _sets(k: int, names: list[str]):
                 if [hashlib.blake2b(x, digest_size=16).digest() for x in found] != part.column("key").to_pylist():
                     raise RuntimeError("the documents were read in another order than before")
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, pa.binary())], [*names, "members"])
+        kept.clear()
+        common.release()
 
     return sets
 
@@ -206,6 +210,8 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = rest.slice(done)
     if rest is not None and rest.num_rows:
         yield joined(rest.combine_chunks())
+    rest = None
+    common.release()
 
 
 def _verified(key: tuple, group: pa.Table) -> pa.Table:
