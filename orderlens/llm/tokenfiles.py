@@ -25,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import coder, common
-from .tokens import encoder, texts_of, vocabulary
+from .tokens import TOGETHER, encoder, texts_of, vocabulary
 
 #: Ids of a block; the id that ends a document in op6.
 BLOCK, END = 1 << 17, 2
@@ -37,6 +38,14 @@ MAGIC = b"TIDB"
 MANIFEST = "part int, file string, n_docs long, n_ids long, n_blocks long"
 
 
+def portions(batch: pa.RecordBatch, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, about ``most`` bytes of texts at a time: the ids of these are what a worker holds."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) // most
+    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size)) + 1):
+        if len(rows):
+            yield batch.slice(rows[0], len(rows))
+
+
 def _blocks(path: str, end: int, width: int, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(table, raw) for each block of the partition's documents."""
@@ -53,7 +62,7 @@ def _blocks(path: str, end: int, width: int, bits: int, size: int):
             have = 0
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             docs = batch.column("doc_id").to_pylist()
             for doc, ids in zip(docs, encode(batch.column("text")), strict=True):
                 left, flags = np.append(ids, np.uint32(end)).astype(f"<u{width}").tobytes(), 2 if doc is None else 0
@@ -68,6 +77,9 @@ def _blocks(path: str, end: int, width: int, bits: int, size: int):
                     if not left:
                         break
                     flags |= 1
+            del ids
+            common.release()
+        common.release()
         if table:
             yield block()
 
@@ -91,6 +103,7 @@ def _written(to: str):
                 out.write(MAGIC + struct.pack(">II", len(table), len(code)) + table + code)
                 own = np.frombuffer(zlib.decompress(table), "<i8").reshape(-1, 3)
                 docs, ids, blocks = docs + int((own[:, 2] & 1 == 0).sum()), ids + int(own[:, 1].sum()), blocks + 1
+        common.release()
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": [docs], "n_ids": [ids], "n_blocks": [blocks]})
@@ -160,6 +173,8 @@ def _documents(width: int):
                             done.append(open_)
                         open_ = [None if flags & 2 else doc, at, n, zlib.crc32(own)]
                     at += n
+            raw = table = None
+            common.release()
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
         if open_:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 CHUNK, OVERLAP, AGREE = 1 << 15, 256, 2
 #: Characters of words kept in a worker's table (it starts anew beyond), and of texts that are split together.
 TABLE, TOGETHER = 8_000_000, 8_000_000
+#: Words whose ids are gathered at a time.
+GATHERED = 1 << 15
 #: Tokens above which op8 flags a document.
 LIMIT = 2048
 
@@ -57,9 +59,14 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the rows ``at``, one row's after the other's, and how many each has."""
+    """The values of the rows ``at``, one row's after the other's, and how many each has; some rows at a time, for memory."""
     size = size[at]
-    return values[ranges(start[at], size)], size
+    cuts = np.arange(0, len(at) + GATHERED, GATHERED)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(size, cuts[:-1]))]) if len(at) else np.zeros(1, np.int64)
+    out = np.empty(int(ends[-1]), values.dtype)
+    for a, b, i in zip(cuts, cuts[1:], range(len(ends) - 1), strict=False):
+        np.take(values, ranges(start[at[a:b]], size[a:b]), out=out[ends[i] : ends[i + 1]], mode="clip")
+    return out, size
 
 
 class Words:

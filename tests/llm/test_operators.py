@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -378,6 +381,28 @@ def test_token_files(spark, docs, empty):
     assert tokenfiles.read_ids(spark, to).count() == 0
 
 
+def test_workers_hold_the_ids_of_a_bounded_portion(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 6, 50_000)
+    start, values, at = np.cumsum(size) - size, rng.integers(0, 49_152, int(size.sum())).astype(np.uint32), rng.integers(0, 50_000, 1_000_000)
+    tracemalloc.start()
+    got, n = tokens.gathered(values, start, size, at)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.5 * (got.nbytes + n.nbytes)
+    few = at[:70_000]
+    assert np.array_equal(tokens.gathered(values, start, size, few)[0], np.concatenate([values[start[i] : start[i] + size[i]] for i in few]))
+    assert [len(x) for x in tokens.gathered(values, start, size, few[:0])] == [0, 0]
+
+    path, asked, whole = tokens.vocabulary("word_bpe_49k.json"), [], tokens.encoder(tokens.vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(tokenfiles, "encoder", lambda _: lambda texts: asked.append(texts) or whole(texts))
+    texts = ["a word " * 100_000, "", "b word " * 100_000] * 20
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    raw = b"".join(x["raw"][2:] for out in tokenfiles._blocks(path, 2, 2, 16, 1 << 17)(iter([batch])) for x in out.to_pylist())
+    assert max(sum(pc.binary_length(x).to_pylist()) for x in asked) <= tokens.TOGETHER + 700_000
+    assert raw == b"".join(np.append(x, 2).astype("<u2").tobytes() for x in whole(batch.column("text")))
+
+
 def test_coder_round_trip_and_checksum(spark):
     coder.register(spark)
     rng = np.random.default_rng(2)
