@@ -234,6 +234,20 @@ def test_search_is_exact(docs, empty, block, postings):
         assert search.top_k(docs, empty).count() == 0 and search.top_k(empty, empty).count() == 0
 
 
+def test_blocks_of_queries_share_two_scans(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    items = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    asked = docs.filter("doc_id < 5")
+    got = [(q, r, d, round(s, 5)) for q, r, d, s in rows(search.top_k(docs.withColumn("text", F.udf(seen, "string")("text")), asked, top=4, block=1))]
+    assert sorted(got, key=str) == sorted(brute_search(items, [x for x in items if x[0] and x[0] < 5], 4), key=str)
+    assert read.value <= 2 * len(items)
+
+
 def test_unseen_query_words_count_for_nothing(spark, docs, empty):
     items = [(r["doc_id"], r["text"]) for r in docs.collect()]
     seen = next(t for _, t in items if t and len(licenses.words_of(t)) > 3)
