@@ -438,6 +438,17 @@ def lattice():
     return pieces.Lattice(tokens.vocabulary("piece_bpe_32k.model"))
 
 
+def test_pieces_are_found_in_two_looks(lattice):
+    rng = np.random.default_rng(5)
+    for table, *_ in lattice.hashes[1:]:
+        own = table.known[: len(table.order)]
+        at, hit = table.find(own)
+        assert table.depth <= 2 and hit.all() and np.array_equal(table.known[at], own)
+        assert not table.find(rng.integers(1 << 40, 1 << 62, 1000).astype(np.uint64))[1].any()
+    few = pieces.Hashes(np.zeros(0, np.uint64))
+    assert not few.find(np.arange(9, dtype=np.uint64).reshape(3, 3))[1].any()
+
+
 def test_sampled_pieces_decode_and_repeat(docs, empty):
     path = tokens.vocabulary("piece_bpe_32k.model")
     a = sorted(rows(pieces.sampled(docs, path)), key=str)
